@@ -65,6 +65,11 @@ def cast(e: Expr, name: str, spark: str, safe: bool, pattern: str | None) -> str
         return f"{f}(to_timestamp_ntz({e}, {quote(dates.cast_format(pattern))}) AS {spark})"
     if name == "INT64" and e.type in ("FLOAT64", "NUMERIC", "BIGNUMERIC"):
         return f"{f}(round({e}) AS bigint)"  # halves away from zero, not towards it
+    if e.type is None and name in ("INT64", "STRING"):  # a column: typeof is constant, so only one branch is left in the plan
+        text = f"cast({e} AS string)"
+        if name == "INT64":
+            return f"(CASE WHEN typeof({e}) IN ('double', 'float') OR typeof({e}) LIKE 'decimal%' THEN {f}(round({f}({text} AS decimal(38,9))) AS bigint) ELSE {f}({e} AS bigint) END)"
+        return f"(CASE WHEN typeof({e}) IN ('double', 'float') THEN ts_float_text(try_cast({text} AS double)) WHEN typeof({e}) LIKE 'decimal%' THEN ts_decimal_text({text}) ELSE {text} END)"
     if name == "INT64" and e.type == "STRING":
         return f"(CASE WHEN lower(trim({e})) LIKE '0x%' THEN {f}(conv(substring(trim({e}), 3), 16, 10) AS bigint) ELSE {f}({e} AS bigint) END)"
     if name == "STRING" and e.type == "INTERVAL":
