@@ -29,3 +29,11 @@ def small_batches(spark: SparkSession, max_bytes: int = 16 << 20) -> None:
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) if held else 0
     if not 0 < now <= max_bytes:
         spark.conf.set(key, str(max_bytes))
+
+
+def fresh(columns: list[str], base: str) -> str:
+    """A column name that none of the given has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -157,10 +157,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     """The documents, each as often as the mix takes it; rows without copies go, and the columns stay as they are."""
     taken = mix(sized(docs), weights, cap).where("copies > 0")
     per_id = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.join(per_id, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    # of rows that repeat an id, each takes the id's mean number of copies, rounded up
+    # the documents' columns travel in one struct, so that no name can clash; of rows that repeat an id, each takes
+    # the id's mean number of copies, rounded up
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = packed.join(per_id, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")))
     again = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))).alias("_k")
-    return rows.select(*[docs[c] for c in docs.columns], again).drop("_k")
+    return rows.select("row", again).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

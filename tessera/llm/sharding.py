@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh, table
 
 SLOTS = 65_537
 SHARDS = 64
@@ -68,8 +68,9 @@ def place(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None,
     names = shards or [f"shard-{k:05d}" for k in range(SHARDS)]
     seen = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")])
     found = F.broadcast(lookup(docs.sparkSession, names, slots))  # ``slots`` rows of two integers, never more
-    placed = seen.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots))
-    return placed.join(found, placed["_slot"] == found["slot"]).drop("_slot")
+    name = fresh(seen.columns, "_slot")
+    placed = seen.withColumn(name, slot_of(F.col(f"`{key}`"), slots))
+    return placed.join(found, placed[name] == found["slot"]).drop(name)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

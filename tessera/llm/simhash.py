@@ -141,7 +141,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and text count once. Rows without an id can't be told apart from their group and stay.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.where("doc_id is null"))
 
 
