@@ -74,6 +74,8 @@ def moments(rows: DataFrame, names: list[str], label: str) -> dict[int, tuple[fl
 
 def fit(found: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = POOL, ridge: float = RIDGE) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """By class: mean, inverse Cholesky factor of the shrunk covariance, and log prior less half the log determinant."""
+    if not found:
+        return {}
     total = sum(n for n, *_ in found.values())
     means = {k: s / n for k, (n, s, _) in found.items()}
     scatter = {k: q / n - np.outer(means[k], means[k]) for k, (n, _, q) in found.items()}
@@ -90,23 +92,24 @@ def fit(found: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = PO
     return model
 
 
-def score(model: dict, names: list[str]) -> Column:
-    """P(class 1) from the difference of the classes' log densities."""
-    if set(model) != {0, 1}:  # one class alone, or none: its share is all that is known
-        return F.lit(float(next(iter(model), 0.5)))
+def scored(rows: DataFrame, model: dict, names: list[str]) -> DataFrame:
+    """``rows`` with ``score``, P(class 1) from the difference of the classes' log densities, instead of the statistics.
 
-    def density(mean: np.ndarray, inverse: np.ndarray, constant: float) -> Column:
-        centred = [F.col(n) - float(m) for n, m in zip(names, mean)]
-        total = F.lit(constant)
+    The whitened statistics are columns of their own before they are squared, so that each stays a short expression.
+    """
+    rest = [c for c in rows.columns if c not in names]
+    if set(model) != {0, 1}:  # one class alone, or none: its share is all that is known
+        return rows.select(*rest, F.lit(float(next(iter(model), 0.5))).alias("score"))
+    columns, density = [], {}
+    for k, (mean, inverse, constant) in model.items():
+        density[k] = F.lit(constant)
         for i in range(len(names)):
-            z = F.lit(0.0)
-            for j in range(i + 1):
-                z = z + centred[j] * float(inverse[i, j])
-            total = total - z * z * 0.5
-        return total
-
-    difference = density(*model[0]) - density(*model[1])
-    return 1.0 / (1.0 + F.exp(F.greatest(F.least(difference, F.lit(500.0)), F.lit(-500.0))))
+            z = sum(((F.col(names[j]) - float(mean[j])) * float(inverse[i, j]) for j in range(i + 1)), F.lit(0.0))
+            columns.append(z.alias(f"z{k}_{i}"))
+            density[k] = density[k] - F.col(f"z{k}_{i}") * F.col(f"z{k}_{i}") * 0.5
+    whitened = rows.select(*rest, *columns)
+    difference = density[0] - density[1]
+    return whitened.select(*rest, (1.0 / (1.0 + F.exp(F.greatest(F.least(difference, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -120,9 +123,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     names = [c for c in found.columns if c != "doc_id"]
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(label).cast("int").alias("label")).where(f"label in (0, 1)")
     taught = found.join(known.where(~held_out(F.col("l_id"))), F.col("doc_id") == F.col("l_id"))
-    model = fit(moments(taught, names, "label")) if names else {}
-    scored = found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score(model, names).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit(moments(taught, names, "label"))
+    fold = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scored(found.select("doc_id", fold, *names), model, names).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
