@@ -80,3 +80,11 @@ def union(a, b=None):
 @rule("ST_UNION_AGG", type="GEOGRAPHY")
 def union_agg(x):
     return Expr(f"ts_st_union_all(collect_list({x}))", "GEOGRAPHY")
+
+
+template("ST_GEOMETRYTYPE", "ts_st_type({0})", "STRING")
+template("ST_STARTPOINT", "ts_st_end({0}, false)", "GEOGRAPHY")
+template("ST_ENDPOINT", "ts_st_end({0}, true)", "GEOGRAPHY")
+template("ST_ISVALID", "ts_st_valid({0})", "BOOL")
+template("ST_ENVELOPE", "transform(array(ts_st_envelope({0})), _e -> concat('POLYGON((', array_join(array(concat(_e[0], ' ', _e[1]), concat(_e[2], ' ', _e[1]), concat(_e[2], ' ', _e[3]), concat(_e[0], ' ', _e[3]), concat(_e[0], ' ', _e[1])), ', '), '))'))[0]", "GEOGRAPHY")
+template("ST_BOUNDINGBOX", "transform(array(ts_st_envelope({0})), _e -> named_struct('xmin', _e[0], 'ymin', _e[1], 'xmax', _e[2], 'ymax', _e[3]))[0]", "STRUCT")

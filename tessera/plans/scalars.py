@@ -302,6 +302,40 @@ GEOGRAPHY = {
     "st_coveredby": (CUSTOMER, f"ST_COVEREDBY({P}, {BOX})", ONEDGE),
 }
 
-for _group, _items in (("string", STRINGS), ("math", NUMBERS), ("datetime", DATES), ("array", ARRAYS), ("json", JSON), ("scalar", OTHERS), ("geo", GEOGRAPHY)):
+TYPES = {
+    "int64": (PART, "CAST(CAST(p_partkey AS STRING) AS INT64) * 1000000007", "(p_partkey * 1000000007)::BIGINT"),
+    "float64": (PART, "CAST(p_size AS FLOAT64) / 4", "p_size::DOUBLE / 4"),
+    "numeric": (PART, "CAST(p_size AS NUMERIC)", "p_size::DECIMAL(38,9)"),
+    "numeric_division": (PART, "CAST(p_size AS NUMERIC) / NUMERIC '8'", "(p_size / 8.0)::DECIMAL(38,9)"),
+    "bignumeric": (PART, "CAST(p_size AS BIGNUMERIC)", "p_size::DECIMAL(38,18)"),
+    "bool": (PART, "CAST(p_size > 10 AS BOOL)", "p_size > 10"),
+    "string": (PART, "CAST(p_size AS STRING)", "p_size::VARCHAR"),
+    "bytes": (PART, "TO_HEX(CAST(p_brand AS BYTES))", "lower(hex(encode(p_brand)))"),
+    "date": (ORDERS, "CAST(o_orderdate AS DATE)", "o_orderdate::DATE"),
+    "time": (EVENTS, "CAST(EXTRACT(TIME FROM DATETIME_TRUNC(ts, SECOND)) AS STRING)", "strftime(ts, '%H:%M:%S')"),
+    "datetime": (EVENTS, "CAST(ts AS DATETIME)", "ts"),
+    "timestamp": (EVENTS, "UNIX_MICROS(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"),
+    "interval": (PART, "CAST(INTERVAL 1 DAY AS STRING)", "'0-0 1 0:0:0'"),
+    "range": (ORDERS, "RANGE_END(RANGE(DATE(o_orderdate), DATE '2010-01-01'))", "DATE '2010-01-01'"),
+    "geography": (CUSTOMER, "ST_ASTEXT(ST_GEOGPOINT(c_custkey, 0))", "'POINT(' || c_custkey || ' 0)'"),
+    "json": (EVENTS, "JSON_TYPE(JSON '[1]')", "'array'"),
+    "array": (PART, "ARRAY<INT64>[1, p_size][OFFSET(1)]", "p_size::BIGINT"),
+    "struct": (PART, "STRUCT(p_size AS a, p_name AS b).b", "p_name"),
+}
+MORE = {
+    "bit_count": (PART, "BIT_COUNT(p_partkey)", "bit_count(p_partkey)::BIGINT"),
+    "safe_prefix": (PART, "SAFE.PARSE_DATE('%Y', p_name)", "NULL::DATE"),
+    "interval_literal": (PART, "CAST(INTERVAL '1-2 3 4:5:6' YEAR TO SECOND AS STRING)", "'1-2 3 4:5:6'"),
+    "date_minus_days": (ORDERS, "DATE(o_orderdate) - INTERVAL 5 DAY", "(o_orderdate - INTERVAL 5 DAY)::DATE"),
+    "json_subscript": (EVENTS, "JSON '{\"a\":[1,2]}'.a[1]", "'2'"),
+    "st_geometrytype": (CUSTOMER, f"ST_GEOMETRYTYPE({A})", "'ST_Polygon'"),
+    "st_startpoint": (CUSTOMER, f"ST_ASTEXT(ST_STARTPOINT({L2}))", "'POINT(0 0)'"),
+    "st_endpoint": (CUSTOMER, f"ST_ASTEXT(ST_ENDPOINT({L2}))", "'POINT(3 4)'"),
+    "st_isvalid": (CUSTOMER, f"ST_ISVALID({A})", "true"),
+    "st_envelope": (CUSTOMER, f"ST_ASTEXT(ST_ENVELOPE({L2}))", "'POLYGON((0 0, 3 0, 3 4, 0 4, 0 0))'"),
+    "st_boundingbox": (CUSTOMER, f"ST_BOUNDINGBOX({L2}).ymax", "4::DOUBLE"),
+}
+
+for _group, _items in (("type", TYPES), ("more", MORE), ("string", STRINGS), ("math", NUMBERS), ("datetime", DATES), ("array", ARRAYS), ("json", JSON), ("scalar", OTHERS), ("geo", GEOGRAPHY)):
     for _name, ((_table, _key), _dialect, _oracle) in _items.items():
         scalar(f"{_group}_{_name}", _table, _key, _dialect, _oracle)

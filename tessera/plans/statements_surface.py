@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
+from tessera.plans import errors
 from tessera.plans.registry import TABLES, add, load
 from tessera.session import configure, scratch_path
 from tessera.sources import files
@@ -109,6 +110,20 @@ SCRIPTS = {
     "infoschema_partitions": ("CREATE TABLE d.o (day DATE, k INT64) PARTITION BY DATE_TRUNC(day, YEAR) AS SELECT DATE(o_orderdate), o_orderkey FROM orders; SELECT partition_id, total_rows FROM d.INFORMATION_SCHEMA.PARTITIONS", "SELECT strftime(o_orderdate, '%Y') AS partition_id, count(*) AS total_rows FROM orders GROUP BY 1"),
 }
 
+SCRIPTS |= {
+    "infoschema_routines": ("CREATE FUNCTION d.f(x INT64) AS (x); CREATE PROCEDURE d.p() BEGIN SELECT 1; END; SELECT routine_name, routine_type FROM d.INFORMATION_SCHEMA.ROUTINES", "SELECT * FROM (VALUES ('f', 'FUNCTION'), ('p', 'PROCEDURE')) AS t(routine_name, routine_type)"),
+    "infoschema_materialized_views": (f"{N} CREATE MATERIALIZED VIEW d.m AS SELECT COUNT(*) AS n FROM d.n; SELECT table_name FROM d.INFORMATION_SCHEMA.MATERIALIZED_VIEWS", "SELECT 'm' AS table_name"),
+    "infoschema_row_access_policies": (f"{N} CREATE ROW ACCESS POLICY p ON d.n GRANT TO ('allUsers') FILTER USING (r = 1); SELECT policy_name, filter_predicate FROM d.INFORMATION_SCHEMA.ROW_ACCESS_POLICIES", "SELECT 'p' AS policy_name, 'r = 1' AS filter_predicate"),
+    "create_model": ("CREATE MODEL d.m OPTIONS(model_type='linear_reg') AS SELECT n_nationkey AS x, n_regionkey AS label FROM nation; DROP MODEL d.m; SELECT 1 AS ok", "SELECT 1::BIGINT AS ok"),
+    "temp_function": ("CREATE TEMP FUNCTION half(x FLOAT64) AS (x / 2); SELECT r_regionkey, half(r_regionkey) AS h FROM region", "SELECT r_regionkey, r_regionkey / 2 AS h FROM region"),
+    "ddl_create_function_python": ("CREATE TEMP FUNCTION shout(s STRING) RETURNS STRING LANGUAGE python AS 'def shout(s): return s.upper() + \"!\"'; SELECT shout(r_name) AS s FROM region", "SELECT upper(r_name) || '!' AS s FROM region"),
+    "alter_set_options": (f"{N} ALTER TABLE d.n SET OPTIONS(description='new'); SELECT option_value FROM d.INFORMATION_SCHEMA.TABLE_OPTIONS", "SELECT '\"new\"' AS option_value"),
+    "default_collation_and_rename_column": (f"{N} ALTER TABLE d.n RENAME COLUMN name TO title; SELECT k, title FROM d.n", "SELECT n_nationkey AS k, n_name AS title FROM nation"),
+    "view_over_policy": (f"{N} CREATE ROW ACCESS POLICY p ON d.n GRANT TO ('allAuthenticatedUsers') FILTER USING (r = 2); CREATE VIEW d.v AS SELECT k FROM d.n; SELECT k FROM d.v", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2"),
+    "create_like_and_copy": (f"{N} CREATE TABLE d.a LIKE d.n; CREATE TABLE d.b COPY d.n; INSERT INTO d.a SELECT * FROM d.b WHERE r = 0; SELECT k FROM d.a", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0"),
+    "assert": ("ASSERT (SELECT COUNT(*) FROM nation) > 0 AS 'empty'; SELECT 1 AS ok", "SELECT 1::BIGINT AS ok"),
+}
+
 for _name, (_text, _oracle) in SCRIPTS.items():
     script(f"stmt_{_name}", _text, _oracle)
 
@@ -152,6 +167,39 @@ for _kind in ("CSV", "NEWLINE_DELIMITED_JSON", "PARQUET", "ORC"):
     job(f"job_load_{_kind.lower()}", ROUND_TRIP)(lambda e, d, _k=_kind: _through(e, d, _k))
 
 
+@job("job_load_autodetect", "SELECT n_nationkey::BIGINT AS k, n_name AS name, n_nationkey / 2 AS h FROM nation")
+def autodetect(e: Engine, sf_dir: str) -> DataFrame:
+    """CSV without a schema: types are detected."""
+    uri = scratch_path(e.spark, "detect")
+    src = load(e.spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), (F.col("n_nationkey") / 2).alias("h"))
+    files.extract(src, f"{uri}/*", "CSV")
+    e.warehouse.load("d.loaded", files.load(e.spark, f"{uri}/shards", "CSV", autodetect=True))
+    return e.sql("SELECT CAST(k AS INT64) AS k, name, h FROM d.loaded")
+
+
+@job("job_dry_run", "SELECT * FROM (VALUES ('n', 'bigint'), ('m', 'string')) AS t(name, kind)")
+def dry_run(e: Engine, sf_dir: str) -> DataFrame:
+    schema = e.dry_run("SELECT COUNT(*) AS n, MAX(n_name) AS m FROM nation")
+    return e.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema], "name string, kind string")
+
+
+def _error(kind: str, text: str) -> None:
+    @job(f"error_{kind.lower()}", f"SELECT '{kind}' AS reason")
+    def fail(e: Engine, sf_dir: str) -> DataFrame:
+        try:
+            e.sql(text)
+            found = "none"
+        except Exception as x:  # noqa: BLE001  the reason is the result
+            found = errors.reason(x)
+        return e.spark.createDataFrame([(found,)], "reason string")
+
+
+_error("invalidQuery", "SELECT 1 +")
+_error("notFound", "SELECT * FROM d.missing")
+_error("duplicate", "CREATE TABLE d.t (x INT64); CREATE TABLE d.t (x INT64)")
+_error("accessDenied", f"{N} CREATE ROW ACCESS POLICY p ON d.n GRANT TO ('user:a@x.org') FILTER USING (k = 1); CREATE TABLE d.c CLONE d.n")
+
+
 @job("job_copy", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_nationkey FROM nation")
 def copy(e: Engine, sf_dir: str) -> DataFrame:
     e.sql("CREATE TABLE d.a AS SELECT n_nationkey AS k FROM nation")

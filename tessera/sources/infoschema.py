@@ -107,4 +107,23 @@ def partitions(engine, dataset) -> DataFrame:
     return out
 
 
-VIEWS = {"SCHEMATA": schemata, "TABLES": tables, "COLUMNS": columns, "TABLE_OPTIONS": table_options, "VIEWS": views, "PARTITIONS": partitions}
+def routines(engine, dataset) -> DataFrame:
+    rows = [(engine.project, d, t, e.kind, e.query, e.options.get("language", "SQL")) for _, d, t, e in _inside(engine, dataset, "FUNCTION", "PROCEDURE", "TABLE FUNCTION")]
+    return _rows(engine, rows, "routine_catalog string, routine_schema string, routine_name string, routine_type string, routine_definition string, routine_body string")
+
+
+def materialized_views(engine, dataset) -> DataFrame:
+    rows = [(engine.project, d, t, float(e.versions[-1]["ts"]) if e.versions else None) for _, d, t, e in _inside(engine, dataset, "MATERIALIZED VIEW")]
+    df = _rows(engine, rows, "table_catalog string, table_schema string, table_name string, at double")
+    return df.withColumn("last_refresh_time", F.timestamp_seconds("at")).drop("at")
+
+
+def row_access_policies(engine, dataset) -> DataFrame:
+    rows = [(engine.project, d, t, n, p["filter"], list(p["grantees"])) for _, d, t, e in _inside(engine, dataset) for n, p in sorted(e.policies.items())]
+    return _rows(engine, rows, "table_catalog string, table_schema string, table_name string, policy_name string, filter_predicate string, grantees array<string>")
+
+
+VIEWS = {
+    "SCHEMATA": schemata, "TABLES": tables, "COLUMNS": columns, "TABLE_OPTIONS": table_options, "VIEWS": views, "PARTITIONS": partitions,
+    "ROUTINES": routines, "MATERIALIZED_VIEWS": materialized_views, "ROW_ACCESS_POLICIES": row_access_policies,
+}

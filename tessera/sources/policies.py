@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tessera.plans.translate import Translator
 
 
+class AccessDenied(PermissionError):
+    """The caller may not do this to a table with row policies."""
+
+
+def require_all(engine, entry, what: str) -> None:
+    """Copying or extracting a table as a whole needs the right to all its rows."""
+    own = [p for p in entry.policies.values() if any(grants(g, engine.user) for g in p["grantees"])]
+    if entry.policies and not any(p["filter"].strip().upper() == "TRUE" for p in own):
+        raise AccessDenied(f"Access Denied: {what} needs access to all rows")
+
+
 def grants(grantee: str, user: str) -> bool:
     """Whether a grantee such as ``user:a@x.org``, ``domain:x.org`` or ``allUsers`` takes a caller in."""
     kind, _, value = grantee.partition(":")
