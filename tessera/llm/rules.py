@@ -57,14 +57,11 @@ def _failing() -> str:
     return " or ".join(f"({rule.format(**parts)})" for rule in LINE_RULES.values())
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``quality``: the counts, the cleaned text, and whether the document is kept.
-
-    Null texts count as empty: no words, base_failed, not kept. Texts of any length are judged whole; repeated rows
-    each get the same verdict; an empty table gives an empty result; no other column is looked at.
-    """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    lines = docs.select(*own, text_of(text_col).alias("_t")).withColumn("_lines", F.split("_t", "\n"))
+def _judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, quality): the documents' own columns in one struct, so that no name can clash, and the verdict."""
+    own = [F.col("row")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("_t"))
+    lines = packed.withColumn("_lines", F.split("_t", "\n"))
     split = lines.withColumn("_lw", F.expr(f"transform(_lines, l -> regexp_extract_all(l, {_quoted(WORD)}, 0))"))
     judged = split.select(
         *own,
@@ -117,13 +114,26 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct column ``quality``: the counts, the cleaned text, and whether the document is kept.
+
+    Null texts count as empty: no words, base_failed, not kept. Texts of any length are judged whole; repeated rows
+    each get the same verdict; an empty table gives an empty result; no other column is looked at, and one that is
+    called ``quality`` is replaced.
+    """
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != "quality"]
+    return _judged(docs, text_col).select(*kept, "quality")
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents, without their failing lines; the columns stay as they are."""
-    kept = judge(docs).where("quality.kept")
+    # A number that isn't deterministic keeps the filter above the projections. Pushed below them, it would put
+    # whole arrays in place of their names inside the lambdas, and compute them again for every element.
+    judged = _judged(docs).withColumn("_seat", F.monotonically_increasing_id()).where("quality.kept and _seat >= 0")
     values = {"text": F.col("quality.clean_text")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.length("quality.clean_text").cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return judged.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
