@@ -274,6 +274,11 @@ def rest_rows(e: Engine, sf_dir: str) -> DataFrame:
     return ingest.wire_rows(e.sql("SELECT n_nationkey AS k, IF(n_regionkey = 0, NULL, n_name) AS name, [1, 2] AS a FROM nation"))
 
 
+@job("rest_nested", "SELECT '{\"f\":[{\"v\":{\"f\":[{\"v\":\"' || n_nationkey || '\"},{\"v\":[{\"v\":\"' || n_name || '\"}]}]}}]}' AS row_json FROM nation")
+def rest_nested(e: Engine, sf_dir: str) -> DataFrame:
+    return ingest.wire_rows(e.sql("SELECT STRUCT(n_nationkey AS a, [n_name] AS b) AS s FROM nation"))
+
+
 @job("stream_windowed_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed(e: Engine, sf_dir: str) -> DataFrame:
     """Hourly counts of the event stream, by Structured Streaming with a watermark."""
