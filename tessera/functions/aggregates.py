@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.functions.expr import Expr
-
 #: name -> f(args, distinct, order, limit, nulls, having, windowed) -> (Spark SQL, type)
 AGGREGATES: dict[str, Callable[..., tuple]] = {}
 
@@ -19,11 +17,6 @@ def _add(*names: str):
     return keep
 
 
-def _having(x: str, having) -> str:
-    """x HAVING MAX k: x only where k has its largest value; expressed through max_by and min_by by the callers."""
-    return x
-
-
 def _simple(spark: str, kind: str | None = None, text: str = "{f}({d}{x})"):
     def agg(args, distinct=False, having=None, **_):
         d = "DISTINCT " if distinct else ""

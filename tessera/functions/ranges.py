@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessera.functions.expr import Expr, quote, rule, template
+from tessera.functions.expr import quote, rule, template
 from tessera.functions.dates import _gap, interval
 
 template("RANGE_START", "{0}.start")
