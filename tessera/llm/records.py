@@ -25,7 +25,7 @@ from tessera.llm.common import small_batches, table
 from tessera.session import scratch_path, stash
 
 END = 1
-CACHE = 400_000
+CACHE = 800_000
 READ = 32 << 20
 _MASK = 0xA282EAD8
 _HEAD = "<?qB"
@@ -80,7 +80,7 @@ class Words:
         fresh = list(missing - held)
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
-            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.new.update((k, np.array(e.ids, dtype=self.kind).tobytes()) for k, e in zip(part, found))
         get = self.new.__getitem__
         end = np.array([END], dtype=self.kind).tobytes()
