@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+_BLANKS = str.maketrans({c: " " for c in SPACES})
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}) | _BLANKS
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text, with ASCII letters in lower case."""
+    lowered = text.lower() if text and text.isascii() else (text or "")
+    return [w for w in lowered.translate(_LOWER).split(" ") if w]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

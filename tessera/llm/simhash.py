@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm import minhash
+from tessera.llm.common import small_batches, table, words
 from tessera.llm.graph import components
 from tessera.session import stash
 
@@ -30,20 +31,17 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 CROWD = 128
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}) | _SPACES
 
 
 def fingerprint(text: str | None) -> int:
     """Signed 64-bit SimHash of the 3-word shingles; zero without words."""
-    lowered = text.lower() if text and text.isascii() else (text or "")
-    words = [w for w in lowered.translate(_LOWER).split(" ") if w]
-    if not words:
+    found = words(text)
+    if not found:
         return 0
-    if len(words) < SHINGLE:
-        shingles = [" ".join(words)]
+    if len(found) < SHINGLE:
+        shingles = [" ".join(found)]
     else:
-        shingles = [f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:])]
+        shingles = [f"{a} {b} {c}" for a, b, c in zip(found, found[1:], found[2:])]
     digest = xxhash.xxh64_intdigest
     total, step = np.zeros(64, dtype=np.int64), 1 << 15
     for at in range(0, len(shingles), step):  # long texts in steps: 8 bytes of bits a shingle and bit
@@ -136,13 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest doc_id, with all its columns.
-
-    Rows that repeat an id and text count once. Rows without an id can't be told apart from their group and stay.
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    """The pipeline's near-duplicate stage: three bits don't stand for a similarity, so :mod:`minhash` groups the texts."""
+    return minhash.keep_one(docs)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
