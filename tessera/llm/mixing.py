@@ -26,9 +26,9 @@ TOLERANCE = 1e-9
 SALTS = 256
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words of each whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size): the number of words of each whole text; more columns are kept."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *more)
 
 
 def targets(per: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -126,10 +126,11 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """(doc_id, source, size) -> the same rows with source_size, target and copies.
 
     Null sources are a source of their own, the last; sizes of zero keep one copy, which adds no word. Repeated rows
-    are documents of their own; of equal ones any gets the odd copy, so reruns agree as a whole. An empty table gives
-    an empty result.
+    are documents of their own; of equal ones any gets the odd copy, so reruns agree as a whole. A column ``key`` that
+    tells rows apart is kept, if there is one. An empty table gives an empty result.
     """
-    slim = stash(sizes.select("doc_id", "source", "size"), "mix-sizes")
+    key = ["key"] if "key" in sizes.columns else []
+    slim = stash(sizes.select("doc_id", "source", "size", *key), "mix-sizes")
     histogram = stash(slim.groupBy(F.col("source").alias("h_source"), "size").agg(F.count("*").alias("n")), "mix-histogram")
     per = histogram.groupBy(F.col("h_source").alias("source")).agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = stash(targets(per, weights, cap), "mix-goal")
@@ -146,22 +147,23 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     counts = salted.groupBy(*group).agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("source").alias("o_source"), F.col("size").alias("o_size"), F.col("salt").alias("o_salt"), before.alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("doc_id")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", *key)))
     at = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("salt") == F.col("o_salt"))
     uneven = ranked.join(offsets, at).withColumn("copies", F.col("each") + F.when(F.col("before") + F.col("rank") <= F.col("odd"), 1).otherwise(0))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", *key]
     return even.select(*columns).unionByName(uneven.select(*columns))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents, each as often as the mix takes it; rows without copies go, and the columns stay as they are."""
-    taken = mix(sized(docs), weights, cap).where("copies > 0")
-    per_id = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    # the documents' columns travel in one struct, so that no name can clash; of rows that repeat an id, each takes
-    # the id's mean number of copies, rounded up
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = packed.join(per_id, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")))
-    again = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))).alias("_k")
+    # the documents' columns travel in one struct, so that no name can clash; a stored key tells the rows apart, as
+    # ids may be null or repeated
+    packed = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = stash(packed, "mix-rows")
+    sizes = sized(held.select("key", "row.doc_id", "row.source", "row.text"), "key")
+    taken = mix(sizes, weights, cap).where("copies > 0").select(F.col("key").alias("_key"), "copies")
+    rows = held.join(taken, F.col("key") == F.col("_key"))
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_k")
     return rows.select("row", again).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

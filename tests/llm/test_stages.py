@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.llm import minhash, simhash
+from tessera.llm import minhash, mixing, simhash
 
 
 def shingle_set(text):
@@ -64,3 +64,14 @@ def test_near_duplicate_links(spark, monkeypatch, stars):
     texts += [" ".join(base[100:] + [f"own{k}x{j}" for j in range(100)]) for k in range(12)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     assert kept(docs) == brute_kept(list(enumerate(texts))) and len(kept(docs)) == 13
+
+
+def test_mixed_takes_each_row_by_its_own_copies(spark):
+    rows = [(None, "a", " ".join(["w"] * 10) + f" n{k}") for k in range(1000)] + [(5, "b", f"x y n{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    given = mixing.mix(mixing.sized(docs), (1, 20)).collect()
+    want = {s: sum(r["copies"] for r in given if r["source"] == s) for s in "ab"}
+    assert 0 < sum(r["copies"] == 0 for r in given) < len(given)
+    out = mixing.mixed(docs, (1, 20)).collect()
+    assert Counter(r["source"] for r in out) == want
+    assert max(Counter(out).values()) <= mixing.CAP and set(map(tuple, out)) <= set(rows)
