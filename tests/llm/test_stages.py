@@ -66,6 +66,18 @@ def test_near_duplicate_links(spark, monkeypatch, stars):
     assert kept(docs) == brute_kept(list(enumerate(texts))) and len(kept(docs)) == 13
 
 
+def test_one_row_of_each_group(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, text)] * 50 + [(7, text + " end"), (3, text.upper())]  # one group with an id
+    rows += [(None, "a text that only rows without an id have")] * 50
+    rows += [(1, "first text under an id that is repeated"), (1, "second text under it"), (2, "second  text under it"), (1, "second text under it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = simhash.keep_one(docs)
+    assert kept(docs) == brute_kept(rows) == [(False, 1), (False, 1), (False, 3), (True, 0)]
+    assert simhash.keep_one(docs.where("doc_id is null")).count() == 2
+    assert {r["text"] for r in found.where("doc_id = 1").collect()} == {rows[-4][1], rows[-1][1]}
+
+
 def test_mixed_takes_each_row_by_its_own_copies(spark):
     rows = [(None, "a", " ".join(["w"] * 10) + f" n{k}") for k in range(1000)] + [(5, "b", f"x y n{k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
