@@ -35,10 +35,10 @@ VECTOR_BLOCK, QUERY_BLOCK = 16_384, 8_192
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): vectors that are not null or zero and have only finite components; one row of each id."""
+    """(vec_id, v): vectors that are not null or zero and have only finite components; rows equal in both count once."""
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = "vec_id is not null and v is not null and size(v) > 0 and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    return named.where(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return named.where(fine).dropDuplicates(["vec_id", "v"])
 
 
 def learn(sample: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +88,17 @@ def _searcher(mean: np.ndarray, rotation: np.ndarray, k: int, share: float) -> C
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
-            vectors = vectors.sort_values("vec_id")
-            ids, v = vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy())
-            q_ids, q = queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy())
+            vectors = vectors.sort_values(["vec_id", "tag"])
+            ids, tags, v = vectors["vec_id"].to_numpy(), vectors["tag"].to_numpy(), np.stack(vectors["v"].to_numpy())
+            q_ids, q_tags, q = queries["vec_id"].to_numpy(), queries["tag"].to_numpy(), np.stack(queries["v"].to_numpy())
             index = Indexes(codes(v, mean, rotation))
-            for q_id, x, code in zip(q_ids, q, codes(q, mean, rotation)):
+            for q_id, q_tag, x, code in zip(q_ids, q_tags, q, codes(q, mean, rotation)):
                 rows = index.within(code, radius)
-                rows = rows[ids[rows] != q_id]
+                rows = rows[(ids[rows] != q_id) | (tags[rows] != q_tag)]
                 distance = np.sqrt(((v[rows] - x) ** 2).sum(axis=1))
-                best = np.lexsort((ids[rows], distance))[:k]
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[rows[best]], "score": distance[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                best = np.lexsort((tags[rows], ids[rows], distance))[:k]
+                out.append(pd.DataFrame({"query_id": q_id, "query_tag": q_tag, "tag": tags[rows[best]], "vec_id": ids[rows[best]], "score": distance[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_tag": [], "tag": [], "vec_id": [], "score": []})
 
     return search
 
@@ -110,7 +110,7 @@ def _blocks(spark: SparkSession, n: int, size: int) -> int:
 def _dealt(rows: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
     """Every row once for each block of the other side."""
     return rows.select(
-        "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        "vec_id", "tag", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
     )
 
 
@@ -118,12 +118,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = R
     """(query_id, rank, vec_id, score): each query's k nearest rows but itself, by Euclidean distance, ties to the smaller id.
 
     Both sides are (vec_id, v) as :func:`usable` gives them, of one dimension. With k rows or fewer all are returned;
-    an empty side gives an empty result. Equal vectors under different ids are neighbours at distance zero.
+    an empty side gives an empty result. Equal vectors under different ids are neighbours at distance zero. An id may
+    stand in several rows with different vectors, which ``tag`` tells apart: each is a query and a candidate of its own.
     """
     spark = vectors.sparkSession
+    vectors, queries = (side.select("vec_id", "v", F.xxhash64("v").alias("tag")) for side in (vectors, queries))
     vectors, queries = stash(vectors, "vectors"), stash(queries, "queries")
     n, m = vectors.count(), queries.count()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, query_tag long, tag long, vec_id long, score double"
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     taught = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]  # at most ``sample`` rows
@@ -137,12 +139,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = R
         return left.cogroup(right).applyInPandas(lambda a, b: search(a, b), schema)
 
     first = stash(ask(queries, m, share), "found")
-    enough = first.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1))
-    short = stash(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "short")
+    enough = first.groupBy("query_id", "query_tag").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1))
+    own = (queries["vec_id"] == enough["query_id"]) & (queries["tag"] == enough["query_tag"])
+    short = stash(queries.join(enough, own, "left_anti"), "short")
     left = short.count()
     if left:
-        first = first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(ask(short, left, 1.0))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        again = short.select(F.col("vec_id").alias("query_id"), F.col("tag").alias("query_tag"))
+        first = first.join(again, ["query_id", "query_tag"], "left_anti").select(*first.columns).unionByName(ask(short, left, 1.0))
+    order = Window.partitionBy("query_id", "query_tag").orderBy("score", "vec_id", "tag")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

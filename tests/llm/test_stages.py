@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force, with null and repeated ids among the rows."""
 
+import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tessera.llm import minhash, mixing, simhash
+from tessera.llm import ann, minhash, mixing, simhash
 
 
 def shingle_set(text):
@@ -87,3 +89,16 @@ def test_mixed_takes_each_row_by_its_own_copies(spark):
     out = mixing.mixed(docs, (1, 20)).collect()
     assert Counter(r["source"] for r in out) == want
     assert max(Counter(out).values()) <= mixing.CAP and set(map(tuple, out)) <= set(rows)
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k // 2, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((60, 16)))]
+    vectors = ann.usable(spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>"))
+    assert vectors.count() == 60
+    got = ann.nearest(vectors, vectors.where("vec_id % 3 = 0"), 100).collect()
+    want = []
+    for a, (q, x) in enumerate(rows):
+        found = sorted((math.dist(x, y), d) for b, (d, y) in enumerate(rows) if a != b)
+        want += [(q, rank, d, round(score, 9)) for rank, (score, d) in enumerate(found, 1) if q % 3 == 0]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
