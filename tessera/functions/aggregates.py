@@ -112,9 +112,15 @@ SKETCHES = False
 
 @_add("APPROX_QUANTILES")
 def approx_quantiles(args, distinct=False, **_):
+    """Exact discrete quantiles; with ``SKETCHES`` within 1/10000 of the ranks."""
     n = int(str(args[1]).removesuffix("L"))
-    steps = ", ".join(f"{k / n!r}D" for k in range(n + 1))
-    return f"percentile_approx({'DISTINCT ' if distinct else ''}{args[0]}, array({steps}), 10000)", "ARRAY"
+    x = f"{'DISTINCT ' if distinct else ''}{args[0]}"
+    if SKETCHES:
+        steps = ", ".join(f"{k / n!r}D" for k in range(n + 1))
+        return f"percentile_approx({x}, array({steps}), 10000)", "ARRAY"
+    rank = f"cast(greatest(1L, (_k * size(_l) + {n - 1}L) div {n}L) AS int)"
+    picked = f"transform(array(array_sort(collect_list({x}))), _l -> transform(sequence(0L, {n}L), _k -> element_at(_l, {rank})))[0]"
+    return f"if(count({args[0]}) = 0, NULL, {picked})", "ARRAY"
 
 
 @_add("APPROX_TOP_COUNT")
