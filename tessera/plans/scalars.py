@@ -26,10 +26,10 @@ STRINGS = {
     "instr": (PART, "INSTR(p_name, 'a')", "instr(p_name, 'a')::BIGINT"),
     "left": (PART, "LEFT(p_name, 3)", "left(p_name, 3)"),
     "length": (DOCS, "LENGTH(text)", "length(text)::BIGINT"),
-    "lower": (DOCS, "LOWER(SUBSTR(text, 1, 80))", "lower(text[1:80])"),
+    "lower": (DOCS, "LOWER(text)", "lower(text)"),
     "lpad": (PART, "LPAD(p_brand, 12, '*')", "lpad(p_brand, 12, '*')"),
     "ltrim": (PART, "LTRIM(CONCAT('xx', p_name), 'x')", "ltrim('xx' || p_name, 'x')"),
-    "normalize": (DOCS, "NORMALIZE(SUBSTR(text, 1, 60), NFC)", "nfc_normalize(text[1:60])"),
+    "normalize": (DOCS, "NORMALIZE(text, NFC)", "nfc_normalize(text)"),
     "normalize_and_casefold": (PART, "NORMALIZE_AND_CASEFOLD(p_brand)", "lower(p_brand)"),
     "octet_length": (PART, "OCTET_LENGTH(p_name)", "octet_length(encode(p_name))::BIGINT"),
     "regexp_contains": (PART, "REGEXP_CONTAINS(p_name, r'[0-9]{2}')", "regexp_matches(p_name, '[0-9]{2}')"),
@@ -58,7 +58,7 @@ STRINGS = {
     "translate": (PART, "TRANSLATE(p_brand, 'Bb#', 'Xx-')", "translate(p_brand, 'Bb#', 'Xx-')"),
     "trim": (PART, "TRIM(CONCAT('  ', p_name, ' '))", "trim('  ' || p_name || ' ')"),
     "unicode": (DOCS, "UNICODE(text)", "CASE WHEN text = '' THEN 0 ELSE unicode(text) END::BIGINT"),
-    "upper": (DOCS, "UPPER(REPLACE(SUBSTR(text, 1, 60), 'ß', 'ss'))", "upper(replace(text[1:60], 'ß', 'ss'))"),
+    "upper": (DOCS, "UPPER(REPLACE(text, 'ß', 'ss'))", "upper(replace(text, 'ß', 'ss'))"),
 }
 
 X = "(p_size / 100.0)"
