@@ -6,44 +6,82 @@ of white space, by the pre-tokenising pattern itself. Words new to the worker's
 recursive query together: their token-position rows join the merge table, each word's leftmost pair of
 least rank is contracted, and words without a pair stand still. Decoding sends the distinct id words to
 an ordered aggregation over the vocabulary's bytes.
+
+In a long word, many places are contracted in one step: each whose rank is the least of all pairs as near as the
+longest token. That gives the same ids. A pair could only lose one of its two tokens to a neighbour that has grown
+meanwhile; tokens grow through ranks below their own, so the neighbour would hold a pair of lower rank now, and
+hold it within its own length. Places of one pair that overlap are contracted from their run's left, two by two.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, table
 
-#: Words up to this many bytes go through SQL; longer ones (no natural word is) through a heap with the same order.
-LONG = 256
+#: Words of more bytes have many places contracted in a step, shorter ones the one place of their least pair.
+OFTEN = 64
+#: Bytes of words that go to the query together.
+TOGETHER = 1 << 20
 CACHE = 400_000
-_POS = 1 << 20
+_POS = 1 << 30
 
 #: A step's rows with a pair below; `[:-2]` and `[2:]` are a word's left and right ids.
+_TOKEN = """
+  token AS (
+     SELECT w, unnest(ids[:-2]) * 65536 + unnest(ids[2:]) AS pair, unnest(range(1, len(ids))) AS pos
+     FROM parts WHERE len(ids) > 1)"""
+
 _CONTRACT = f"""
 WITH RECURSIVE parts AS (
   SELECT w, ids, 0 AS step FROM words
   UNION ALL
-  (WITH token AS (
-     SELECT w, unnest(ids[:-2]) * 65536 + unnest(ids[2:]) AS pair, unnest(range(1, len(ids))) AS pos
-     FROM parts WHERE len(ids) > 1),
+  (WITH {_TOKEN},
    best AS (
      SELECT token.w, min(merges.id * {_POS} + token.pos) AS found
      FROM token JOIN merges ON merges.pair = token.pair GROUP BY token.w)
-   SELECT parts.w, ids[:(found & {_POS - 1}) - 1] || [found >> 20] || ids[(found & {_POS - 1}) + 2:], step + 1
+   SELECT parts.w, ids[:(found & {_POS - 1}) - 1] || [found >> 30] || ids[(found & {_POS - 1}) + 2:], step + 1
    FROM parts JOIN best ON best.w = parts.w))
 SELECT w, arg_max(ids, step) AS ids FROM parts GROUP BY w ORDER BY w
 """
 
+#: Every place whose rank is the least of its stretch of {reach} positions and of the two stretches beside it.
+_CONTRACT_MANY = f"""
+WITH RECURSIVE parts(w, ids) USING KEY (w) AS (
+  SELECT w, ids FROM words
+  UNION
+  (WITH {_TOKEN},
+   ranked AS (SELECT token.w, token.pos, token.pos // {{reach}} AS stretch, merges.id, merges.twin FROM token JOIN merges ON merges.pair = token.pair),
+   near AS (
+     SELECT w, stretch + beside AS stretch, min(least) AS least
+     FROM (SELECT w, stretch, min(id) AS least FROM ranked GROUP BY w, stretch), (VALUES (-1), (0), (1)) AS b(beside) GROUP BY ALL),
+   judged AS (SELECT ranked.*, id = least AS first FROM ranked JOIN near ON near.w = ranked.w AND near.stretch = ranked.stretch),
+   twins AS (SELECT w, pos, id, first, pos - row_number() OVER (PARTITION BY w, id ORDER BY pos) AS run FROM judged WHERE twin),
+   turns AS (
+     SELECT w, pos, id, row_number() OVER own AS turn, bool_and(first) OVER (PARTITION BY w, id, run) AS whole
+     FROM twins WINDOW own AS (PARTITION BY w, id, run ORDER BY pos)),
+   chosen AS (
+     SELECT w, pos, id FROM judged WHERE first AND NOT twin UNION ALL SELECT w, pos, id FROM turns WHERE whole AND turn % 2 = 1),
+   piece AS (SELECT w, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM parts WHERE w IN (SELECT w FROM chosen)),
+   kept AS (
+     SELECT piece.w, piece.pos, coalesce(chosen.id, piece.id) AS id
+     FROM piece LEFT JOIN chosen ON chosen.w = piece.w AND chosen.pos = piece.pos
+     ANTI JOIN (SELECT w, pos + 1 AS pos FROM chosen) AS gone ON gone.w = piece.w AND gone.pos = piece.pos)
+   SELECT w, list(id ORDER BY pos) FROM kept GROUP BY w))
+SELECT w, ids FROM parts ORDER BY w
+"""
+
 _EXPAND = """
 SELECT w, string_agg(piece, '' ORDER BY pos) AS piece
 FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM words) JOIN vocabulary USING (id)
@@ -58,79 +96,144 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The pair that a token is merged from, always the same one: what inside it ranks before it is contracted first."""
+    parts, rank = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        found = [(ranks[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in ranks]
+        least, i = min(found, default=(rank, 0))
+        if least >= rank:
+            return None
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+
+
+class Vocabulary:
+    """A rank file as the merge table, made once on the driver and broadcast; its size is the file's."""
+
+    def __init__(self, blob: bytes, pattern: str):
+        ranks = read_ranks(blob)
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("a vocabulary may have ids below 65536")
+        merges = {rank: pair for token, rank in ranks.items() if len(token) > 1 and (pair := last_pair(token, ranks))}
+        # always so in a vocabulary that was trained by merging; with another, only the least place is contracted
+        self.grows = all(part < rank for rank, pair in merges.items() for part in pair)
+        self.longest = max(map(len, ranks))
+        self.pattern = pattern
+        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.merges = pa.table({
+            "pair": pa.array([a * 65536 + b for a, b in merges.values()], pa.int64()),
+            "id": pa.array(merges, pa.int64()),
+            "twin": pa.array([a == b for a, b in merges.values()], pa.bool_()),
+        })
+        # a byte is a character of the same number, so that partial characters can be joined as text
+        self.pieces = pa.table({"id": pa.array(ranks.values(), pa.int64()), "piece": [t.decode("latin-1") for t in ranks]})
+        self.name = hashlib.sha256(blob + pattern.encode()).hexdigest()
+
+
+def _rows(flat: np.ndarray, offsets: np.ndarray) -> pa.Table:
+    """Numbered rows of ids, cut at the offsets."""
+    ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int64, copy=False)))
+    return pa.table({"w": pa.array(np.arange(len(offsets) - 1)), "ids": ids})
+
+
+def _parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and the bytes of a large binary or large string array."""
+    offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
+    data = np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _groups(sizes: np.ndarray) -> list[np.ndarray]:
+    """Numbers in groups of about ``TOGETHER`` bytes, or of one where that is larger."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1) if len(sizes) else []
+
+
+class Words:
+    """The rows of a batch as distinct byte strings, the number of each place's string, and where each row's places end."""
+
+    def __init__(self, distinct: list[bytes], codes: np.ndarray, ends: np.ndarray):
+        self.distinct, self.codes, self.ends = distinct, codes, ends
+
+    def joined(self) -> tuple[np.ndarray, list[int]]:
+        """All rows' bytes one after the other, and where each row begins, with the end last."""
+        return _joined(pa.array(self.distinct, pa.large_binary()).take(pa.array(self.codes)), self.ends)
+
+    def rows(self) -> list[bytes]:
+        data, at = self.joined()
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+def _joined(places: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    offsets, data = _parts(places)
+    return data, [0, *offsets[ends].tolist()]
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary; keeps two generations of its latest words."""
+    """Encoder and decoder of one vocabulary; keeps two generations of its latest words. Ids are two bytes each."""
 
-    def __init__(self, blob: bytes, pattern: str, cache: int = CACHE):
+    def __init__(self, vocabulary: Vocabulary, cache: int = CACHE):
         import duckdb
         import regex
 
-        self.ranks = read_ranks(blob)
-        self.find = regex.compile(pattern).findall
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.text = {i: str(i) for i in self.ranks.values()}
+        self.find = regex.compile(vocabulary.pattern).findall
+        self.byte = np.array(vocabulary.byte, dtype=np.int64)
+        self.many = _CONTRACT_MANY.format(reach=vocabulary.longest) if vocabulary.grows else _CONTRACT
+        self.decimal = pa.array([b"%d," % i for i in range(1 << 16)], pa.large_binary())
         self.cache = cache
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
-        pairs: list[int] = []
-        merged: list[int] = []
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pairs.append(a * 65536 + b)
-                    merged.append(rank)
-        self.pairs = dict(zip(pairs, merged))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.decoded_old: dict[bytes, bytes] = {}
+        # a worker's own scratch, which only words of many megabytes need
+        scratch = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": scratch})
         self.db.execute("SET preserve_insertion_order = false")
-        self.db.register("m", pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(merged, pa.int64())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        # a byte is a character of the same number, so that partial characters can be joined as text
-        tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "piece": [t.decode("latin-1") for t in self.ranks]})
-        self.db.register("v", tokens)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-
-    def _heap(self, word: bytes) -> list[int]:
-        """The same contraction order for one long word: least rank first, leftmost of equals."""
-        ids: list[int] = [self.byte[c] for c in word]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        gone = [False] * len(ids)
-        todo = [(m, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := self.pairs.get(ids[i] * 65536 + ids[i + 1])) is not None]
-        heapq.heapify(todo)
-        while todo:
-            m, i, left, right = heapq.heappop(todo)
-            j = after[i]
-            if gone[i] or ids[i] != left or j >= len(ids) or ids[j] != right:
-                continue
-            ids[i], gone[j], after[i] = m, True, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for a in (before[i], i):
-                b = after[a] if a >= 0 else len(ids)
-                if a >= 0 and b < len(ids) and (m := self.pairs.get(ids[a] * 65536 + ids[b])) is not None:
-                    heapq.heappush(todo, (m, a, ids[a], ids[b]))
-        return [x for x, dead in zip(ids, gone) if not dead]
-
-    def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {w: np.array(self._heap(w), dtype="<i4").tobytes() for w in words if len(w) > LONG}
-        short = [w for w in words if len(w) <= LONG]
-        byte = self.byte
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            ids = pa.array([[byte[c] for c in w] for w in part], pa.list_(pa.int64()))
-            self.db.register("words", pa.table({"w": pa.array(range(len(part)), pa.int64()), "ids": ids}))
-            found = self.db.execute(_CONTRACT).to_arrow_table().column("ids").combine_chunks()
-            flat, ends = found.values.to_numpy().astype("<i4").tobytes(), found.offsets.to_numpy() * 4
-            out |= {w: flat[a:b] for w, a, b in zip(part, ends.tolist(), ends[1:].tolist())}
-        return out
-
-    def keys(self, text: str) -> list[str]:
-        """The text's words: a leading space marks a word as it stands, else it follows one space."""
-        if _RUN.search(text):
-            return [" " + x for x in self.find(text)]
-        first, *rest = text.split(" ")
-        return [" " + first, *rest]
+        for name, held in (("merges", vocabulary.merges), ("vocabulary", vocabulary.pieces)):
+            self.db.register("held", held)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM held")
+
+    def _ask(self, query: str, rows: pa.Table, column: str) -> pa.Array:
+        self.db.register("words", rows)
+        return self.db.sql(query).to_arrow_table().column(column).combine_chunks()
+
+    def _contract(self, words: pa.Array) -> pa.Array:
+        """The id word of each word, both as large binary arrays."""
+        sizes, done, order = np.diff(_parts(words)[0]), [], []
+        for query, chosen in ((_CONTRACT, sizes <= OFTEN), (self.many, sizes > OFTEN)):
+            own = np.flatnonzero(chosen)
+            for group in _groups(sizes[own]):
+                offsets, data = _parts(words.take(pa.array(own[group])))
+                found = self._ask(query, _rows(self.byte[data], offsets), "ids")
+                done.append(_binary(found.offsets.to_numpy().astype(np.int64) * 2, found.values.to_numpy().astype("<u2").tobytes()))
+                order.append(own[group])
+        if not done:
+            return pa.array([], pa.large_binary())
+        return pa.concat_arrays(done).take(pa.array(np.argsort(np.concatenate(order))))
+
+    def _keyed(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct keys of a batch, every word's number among them, and where each text's words end."""
+        runs = [k for k, t in enumerate(texts) if _RUN.search(t)]
+        own = {k: self.find(texts[k]) for k in runs}
+        split = pc.split_pattern(pa.array(["" if k in own else t for k, t in enumerate(texts)], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        keys, codes, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()[:-1]
+        # first words follow no space, and words of texts with runs of white space stand as they are
+        marked: dict[str, int] = {}
+        first = [marked.setdefault(" " + keys[c], len(keys) + len(marked)) for c in codes[starts].tolist()]
+        codes[starts] = first
+        sizes = np.diff(np.append(starts, len(codes)))
+        if own:
+            rows = np.split(codes, starts[1:])
+            for k, found in own.items():
+                rows[k] = np.array([marked.setdefault(" " + x, len(keys) + len(marked)) for x in found], dtype=np.int64)
+                sizes[k] = len(found)
+            codes = np.concatenate(rows)
+        return [*keys, *marked], codes, np.cumsum(sizes)
 
     def learn(self, keys: set[str]) -> None:
         """Bring the words of a batch into the cache."""
@@ -141,52 +244,70 @@ class Codec:
         for k in held:
             self.new[k] = self.old[k]
         missing -= held
-        pieces = {k: [p.encode() for p in self.find(k[1:] if k[:1] == " " else " " + k)] for k in missing}
-        found = self._contract(list({p for ps in pieces.values() for p in ps}))
-        for k, ps in pieces.items():
-            self.new[k] = found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """Each text's id words, little-endian 32-bit."""
-        every = [self.keys(t) for t in texts]
-        self.learn(set().union(*every) if every else set())
-        get = self.new.__getitem__
-        return [list(map(get, keys)) for keys in every]
-
-    def decode(self, words: list[list[bytes]]) -> list[bytes]:
-        """The bytes that each text's id words stand for."""
+        if not missing:
+            return
+        pieces, ends = [], [0]
+        for k in missing:
+            pieces += self.find(k[1:] if k[:1] == " " else " " + k)
+            ends.append(len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        offsets, data = _parts(self._contract(coded.dictionary.cast(pa.large_binary())).take(coded.indices))
+        at, flat = offsets[ends].tolist(), data.tobytes()
+        self.new.update(zip(missing, [flat[a:b] for a, b in zip(at, at[1:])]))
+
+    def encode(self, texts: list[str]) -> Words:
+        """Every text's id words."""
+        if not texts:
+            return Words([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        keys, codes, ends = self._keyed(texts)
+        self.learn(set(keys))
+        return Words(list(map(self.new.__getitem__, keys)), codes, ends)
+
+    def decode(self, words: Words) -> Words:
+        """The same, with the bytes that each id word stands for."""
         if len(self.decoded) > self.cache:
-            self.decoded = {}
-        missing = list(set().union(*words).difference(self.decoded, (b"",))) if words else []
+            self.decoded_old, self.decoded = self.decoded, {}
+        missing = set(words.distinct) - self.decoded.keys()
+        held = missing & self.decoded_old.keys()
+        for w in held:
+            self.decoded[w] = self.decoded_old[w]
+        todo = pa.array(list(missing - held - {b""}), pa.large_binary())
         self.decoded[b""] = b""
-        if missing:
-            ids = pa.array([np.frombuffer(w, dtype="<i4").astype(np.int64) for w in missing], pa.list_(pa.int64()))
-            self.db.register("words", pa.table({"w": pa.array(range(len(missing)), pa.int64()), "ids": ids}))
-            found = self.db.execute(_EXPAND).to_arrow_table().column("piece").to_pylist()
-            self.decoded.update(zip(missing, [x.encode("latin-1") for x in found]))
-        get = self.decoded.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        for group in _groups(np.diff(_parts(todo)[0]) if len(todo) else np.zeros(0)):
+            part = todo.take(pa.array(group))
+            offsets, data = _parts(part)
+            found = self._ask(_EXPAND, _rows(data.view("<u2"), offsets // 2), "piece").cast(pa.large_string())
+            flat = _parts(found)[1].tobytes().decode().encode("latin-1")
+            at = np.concatenate([[0], np.cumsum(pc.utf8_length(found).to_numpy())]).tolist()
+            self.decoded.update(zip(part.to_pylist(), [flat[a:b] for a, b in zip(at, at[1:])]))
+        return Words(list(map(self.decoded.__getitem__, words.distinct)), words.codes, words.ends)
 
 
 _codecs: dict[str, Codec] = {}
 
 
-def codec(blob: bytes, pattern: str) -> Codec:
+def codec(vocabulary: Vocabulary) -> Codec:
     """The worker's codec of a vocabulary, kept between its tasks."""
-    name = hashlib.sha256(blob + pattern.encode()).hexdigest()
-    if name not in _codecs:
+    if vocabulary.name not in _codecs:
         _codecs.clear()
-        _codecs[name] = Codec(blob, pattern)
-    return _codecs[name]
+        _codecs[vocabulary.name] = Codec(vocabulary)
+    return _codecs[vocabulary.name]
 
 
-def _over_texts(spark: SparkSession, path: str, pattern: str, row: Callable) -> Callable:
-    """A function over Arrow batches (key, text); the rank file, of fixed size, is broadcast once."""
-    with open(path, "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())
+def vocabulary(path: str | None = None, pattern: str | None = None) -> Vocabulary:
+    """By default, the vocabulary that the registered query names."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return Vocabulary(f.read(), pattern or public_tokenizers.PATTERN)
+
+
+def _over_texts(spark: SparkSession, path: str | None, pattern: str | None, row: Callable) -> Callable:
+    """A function over Arrow batches (key, text); the vocabulary, of fixed size, is broadcast once."""
+    held = spark.sparkContext.broadcast(vocabulary(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value, pattern)
+        own = codec(held.value)
         for batch in batches:
             yield row(own, batch, [t or "" for t in batch.column(1).to_pylist()])
 
@@ -194,31 +315,27 @@ def _over_texts(spark: SparkSession, path: str, pattern: str, row: Callable) ->
 
 
 def _with_ids(own: Codec, batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    flat = [b"".join(w) for w in own.encode(texts)]
-    ids = pa.array([np.frombuffer(x, dtype="<i4") for x in flat], pa.list_(pa.int32()))
+    data, at = own.encode(texts).joined()
+    ids = pa.ListArray.from_arrays(pa.array(np.array(at) // 2, pa.int32()), pa.array(data.view("<u2").astype(np.int32)))
     return pa.record_batch([batch.column(0), ids], names=["doc_id", "token_ids"])
 
 
 def _digests(own: Codec, batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     words = own.encode(texts)
-    flat = [np.frombuffer(b"".join(w), dtype="<i4").tolist() for w in words]
-    text = own.text.__getitem__
-    ids = [hashlib.sha256(",".join(map(text, x)).encode()).hexdigest() for x in flat]
-    back = [hashlib.sha256(x).hexdigest() for x in own.decode(words)]
-    columns = [batch.column(0), pa.array([len(x) for x in flat], pa.int64()), pa.array(ids), pa.array(back)]
+    data, at = words.joined()
+    ends = np.array(at, dtype=np.int64) // 2
+    decimals, d = _joined(own.decimal.take(pa.array(data.view("<u2"))), ends[1:])
+    ids = [hashlib.sha256(decimals[a : max(a, b - 1)]).hexdigest() for a, b in zip(d, d[1:])]
+    back, e = own.decode(words).joined()
+    whole = [hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(e, e[1:])]
+    columns = [batch.column(0), pa.array(np.diff(ends)), pa.array(ids, pa.string()), pa.array(whole, pa.string())]
     return pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _vocabulary(path: str | None, pattern: str | None) -> tuple[str, str]:
-    import public_tokenizers
-
-    return path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-
-
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, token_ids) of every whole text; null and empty texts have no ids, repeated rows repeat."""
     small_batches(docs.sparkSession, 4 << 20)
-    run = _over_texts(docs.sparkSession, *_vocabulary(path, pattern), _with_ids)
+    run = _over_texts(docs.sparkSession, path, pattern, _with_ids)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>")
 
 
@@ -226,15 +343,14 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     """(doc_id, token_ids) -> (doc_id, content binary); null ids count as none."""
     spark = encoded.sparkSession
     small_batches(spark, 4 << 20)
-    file, pat = _vocabulary(path, pattern)
-    with open(file, "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())
+    held = spark.sparkContext.broadcast(vocabulary(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value, pat)
+        own = codec(held.value)
         for batch in batches:
-            words = [[np.array(x or [], dtype="<i4").tobytes()] for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(own.decode(words), pa.binary())], names=["doc_id", "content"])
+            rows = [np.array(x or [], dtype="<u2").tobytes() for x in batch.column(1).to_pylist()]
+            every = np.arange(len(rows))
+            yield pa.record_batch([batch.column(0), pa.array(own.decode(Words(rows, every, every + 1)).rows(), pa.binary())], names=["doc_id", "content"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, content binary")
 
@@ -246,7 +362,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     ignored whatever their names; an empty table gives an empty result. Texts are never cut.
     """
     small_batches(docs.sparkSession, 4 << 20)
-    run = _over_texts(docs.sparkSession, *_vocabulary(path, pattern), _digests)
+    run = _over_texts(docs.sparkSession, path, pattern, _digests)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

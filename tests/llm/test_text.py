@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import re
+import time
 import zlib
 
 import duckdb
@@ -57,22 +59,41 @@ def test_bpe_against_library(odd_docs, reference_bpe):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def ids_of(own, texts):
+    return [np.frombuffer(x, dtype="<u2").tolist() for x in own.encode(texts).rows()]
+
+
 def test_bpe_long_words_agree(reference_bpe):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    own = bpe.Codec(open(path, "rb").read(), public_tokenizers.PATTERN)
+    own = bpe.Codec(bpe.vocabulary())
     rng = np.random.default_rng(1)
-    for n in (1, 2, 7, 200, 256, 257, 900):
-        word = bytes(rng.choice(list(b"aehinorst"), n))
-        assert own._contract([word])[word] == np.array(reference_bpe.encode_ordinary(word.decode()), dtype="<i4").tobytes()
-        assert own._heap(word) == reference_bpe.encode_ordinary(word.decode())
+    for letters in ("aehinorst", "ACGT", "x", "xy", "0123456789", "абвг", "-=_*"):
+        texts = ["".join(rng.choice(list(letters), n)) for n in (1, 2, 7, bpe.OFTEN, bpe.OFTEN + 1, 257, 900, 5000)]
+        assert ids_of(own, texts) == [reference_bpe.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_words_of_a_megabyte(reference_bpe):
+    own = bpe.Codec(bpe.vocabulary())
+    text = "x" * (1 << 20) + " " + "".join(np.random.default_rng(2).choice(list("ACGT"), 1 << 20))
+    words = own.encode([text])
+    assert np.frombuffer(words.rows()[0], dtype="<u2").tolist() == reference_bpe.encode_ordinary(text)
+    assert own.decode(words).rows() == [text.encode()]
+
+
+def test_bpe_one_place_a_step(reference_bpe):
+    """What a vocabulary takes whose tokens may have pairs of lower rank."""
+    kind = bpe.vocabulary()
+    assert kind.grows
+    kind.grows = False
+    texts = ["".join(np.random.default_rng(k).choice(list("aehinorst"), 300)) for k in range(20)]
+    assert ids_of(bpe.Codec(kind), texts) == [reference_bpe.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_small_cache(reference_bpe):
-    own = bpe.Codec(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN, cache=2)
-    for text in ["a b c d e f", "f e d  c\n\nb a", " lead", "trail ", "é è́"]:
-        words = own.encode([text])
-        assert np.frombuffer(b"".join(words[0]), dtype="<i4").tolist() == reference_bpe.encode_ordinary(text)
-        assert own.decode(words) == [text.encode()]
+    own = bpe.Codec(bpe.vocabulary(), cache=2)
+    for text in ["a b c d e f", "f e d  c\n\nb a", " lead", "trail ", "é è́", "", " ", "  ", "\x00a \x00a"]:
+        words = own.encode([text, "a", text])
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in words.rows()] == [reference_bpe.encode_ordinary(t) for t in (text, "a", text)]
+        assert own.decode(words).rows() == [text.encode(), b"a", text.encode()]
 
 
 def test_bpe_frames(odd_docs, no_docs):
@@ -153,6 +174,17 @@ def test_simhash_groups(spark, crowd):
     assert sorted(map(tuple, simhash.near_duplicates(docs, crowd=crowd).collect()), key=str) == brute_components(rows)
 
 
+def brute_base(text):
+    """The fixed patterns as they stand."""
+    checks = (
+        lambda m: True,
+        lambda m: all(int(x) <= 255 for x in m.split(".")),
+        lambda m: 16 <= len(d := [int(c) for c in m if c.isdigit()]) <= 19 and sum(d[-1::-2] + [sum(divmod(2 * x, 10)) for x in d[-2::-2]]) % 10 == 0,
+        lambda m: 8 <= sum(c.isdigit() for c in m) <= 15,
+    )
+    return [(k, m.start(), m.end()) for k, p in enumerate(pii.BASE) for m in re.finditer(p, text) if checks[k](m.group())]
+
+
 def test_pii_base():
     text = "a.b@x.org, 1.2.3.4, 1.2.3.400, 4111 1111 1111 1111, 4111 1111 1111 1112, +1 (487) 555-7209 or +1 2"
     found = {(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)}
@@ -160,6 +192,43 @@ def test_pii_base():
     assert not any(kind == "ip" and t.endswith("400") or kind == "card" and t.endswith("1112") for kind, t in found)
 
 
+@pytest.mark.parametrize("letters", ["a@.", "a@.-é ", "12.", "0123456789.x", "41 -", "+1() .-", "a@.b1+2 -", "0123456789 -+()"])
+def test_pii_base_against_plain_patterns(letters):
+    rng = np.random.default_rng(7)
+    for n in (3, 8, 20, 60, 200):
+        for _ in range(150):
+            text = "".join(rng.choice(list(letters), n))
+            assert pii.base_spans(text) == brute_base(text)
+
+
+def test_pii_base_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in pii.find_all(docs).collect():
+        base = brute_base(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for k, *_ in base) for kind in range(4)]
+        written = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert set(filter(None, written.split(","))) <= set(r["spans"].split(","))
+
+
+def test_pii_takes_time_in_proportion():
+    million = 1 << 20
+    began = time.perf_counter()
+    for text in ("7" * million, "a" * million, "a" * million + "@x", "a@" * (million // 2), "1." * (million // 2), "1 " * (million // 2), "+1" * (million // 2), "+1" + " " * million, "a@b.cd " * (million // 7), "token=" * (million // 6), "a(at)" * (million // 5)):
+        pii.all_spans(text, set(range(0, pii.CODES, 3)))
+    assert time.perf_counter() - began < 60
+
+
+def test_pii_codes():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        kind, votes = int(rng.integers(len(pii.KINDS))), tuple(int(v) for v in rng.integers(-1, 2, pii.VOTES))
+        code = pii._code(kind, votes, 30, "call me ", "x")
+        assert 0 <= code < pii.CODES and pii._unpack(code)[:2] == (kind, list(votes)) and pii._unpack(code)[2][:3] == [2, 0, 1]
+    assert pii._code(len(pii.KINDS) - 1, (1,) * pii.VOTES, 10**6, "x;", ";") < pii.CODES
+
+
 def test_pii_frames(odd_docs, no_docs):
     got = pii.find_all(odd_docs)
     assert got.columns == pii.NAMES and got.count() == len(TEXTS) + 1
