@@ -4,14 +4,19 @@ Fixed patterns give base spans, which always stay. Wider patterns give candidate
 (format and checksum rules, gazetteers, context words). Candidates with the same votes and shape share a
 code, and codes are counted over the whole corpus: that table is bounded by the number of codes, so the
 driver can run expectation-maximisation on it, which estimates each labeler's reliability and each code's
-probability, and then train a logistic span classifier on the probabilistic labels. A second pass adds the
-candidates the classifier accepts.
+probability, and then train a logistic span classifier on the probabilistic labels. The classifier also sees what
+no labeler votes on: the kinds of the characters around the span, and the word before it, hashed. A second pass adds
+the candidates the classifier accepts.
+
+Every pattern takes time in proportion to the text. The base patterns are the fixed ones in another form: an address
+is looked for around its ``@``, and a number begins where its run of digits does, as no later place of the run could match.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +35,13 @@ BASE = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 WIDER = (
-    r"[A-Za-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z0-9-]{2,63})+",
+    r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z0-9-]{2,63})+",
     r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
     r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])|\+[0-9][\x20().0-9-]{6,18}[0-9](?![0-9])",
     r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\x20]?[=:][\x20]?[\"']?[A-Za-z0-9+/_=-]{16,}[\"']?",
 )
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAINS = frozenset("com org net edu gov mil int info biz io co ai app dev de fr es it uk us ca nl pl se no fi dk ch at be pt br ru cn jp in au".split())
 CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 CUES = (
@@ -50,6 +56,9 @@ TAGS = tuple(f"[{k.upper()}]" for k in KINDS)
 
 VOTES = 5
 REACH = 32
+#: A candidate's code holds, beside its kind and votes: length class, character kinds before and after, hashed word before.
+LENGTHS, SIDES, WORDS = 4, 4, 8
+CODES = len(KINDS) * 3**VOTES * LENGTHS * SIDES * SIDES * WORDS
 
 
 def luhn(digits: str) -> bool:
@@ -76,21 +85,48 @@ def _holds(kind: int, found: str) -> bool:
     return True
 
 
-_SIGNS = ("@", None, None, "+")
 _DIGIT = re.compile("[0-9]")
 _base = [re.compile(p) for p in BASE]
+_domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _wider = [re.compile(p, re.IGNORECASE if k in (0, 4) else 0) for k, p in enumerate(WIDER)]
 _SECRET = re.compile("token|secret|passw|key", re.IGNORECASE)
 _AT = re.compile(r"@|[(\[]at[)\]]", re.IGNORECASE)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the base pattern: the run of local characters before an ``@``, and the domain behind it."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        domain = _domain.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        low = domain.end() if domain else at + 1
+        at = text.find("@", low)
+
+
+def _wide_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Around every sign that can stand for an ``@``: 2 to 64 local characters, a white space or none, and a spelt domain."""
+    low = 0
+    for m in _AT.finditer(text):
+        if m.start() < low:
+            continue
+        end = m.start() - (m.start() > low and text[m.start() - 1].isspace())
+        first = max(low, end - 64)
+        start = first + len(text[first:end].rstrip(LOCAL))
+        domain = _wider[0].match(text, m.end()) if end - start >= 2 else None
+        if domain:
+            yield start, domain.end()
+            low = domain.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) in code points, by kind and then start."""
+    """(kind, start, end) in code points, by kind and then start: what the base patterns match and their checks keep."""
     digit = _DIGIT.search(text) is not None
-    found = []
-    for kind, pattern in enumerate(_base):
-        sign = _SIGNS[kind]
-        if sign in text if sign else digit:
+    found = [(0, *span) for span in _emails(text)]
+    for kind, pattern in ((1, _ip), (2, _base[2]), (3, _base[3])):
+        if digit and (kind != 3 or "+" in text):
             found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _holds(kind, m.group())]
     return found
 
@@ -125,33 +161,47 @@ def _votes(kind: int, found: str, before: str) -> tuple[int, ...]:
     return shape, check, gazetteer, cue, counter
 
 
-def _code(kind: int, votes: tuple[int, ...], size: int) -> int:
-    """Kind, votes and length class as one number below ``len(KINDS) * 3**VOTES * 4``."""
+def _side(c: str) -> int:
+    """The kind of a character beside a span: none or white space, letter, digit, other."""
+    return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
+
+
+def _code(kind: int, votes: tuple[int, ...], size: int, before: str, after: str) -> int:
+    """Kind, votes, length class and surroundings as one number below ``CODES``."""
     code = kind
     for v in votes:
         code = code * 3 + v + 1
-    return code * 4 + min(size // 12, 3)
+    words = before.split()
+    word = zlib.crc32(words[-1].strip(":=(,.").encode("utf-8", "surrogatepass")) % (WORDS - 1) + 1 if words else 0
+    for value, many in ((min(size // 12, LENGTHS - 1), LENGTHS), (_side(before[-1:]), SIDES), (_side(after), SIDES), (word, WORDS)):
+        code = code * many + value
+    return code
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, code) of the wider patterns' matches."""
     digit, found = _DIGIT.search(text) is not None, []
-    asked = (_AT.search(text), digit, digit, digit, _SECRET.search(text))
+    asked = (False, digit, digit, digit, _SECRET.search(text))
+    spans = [(0, *span) for span in _wide_emails(text)]
     for kind, pattern in enumerate(_wider):
         if asked[kind]:
-            for m in pattern.finditer(text):
-                before = text[max(0, m.start() - REACH) : m.start()].lower()
-                found.append((kind, m.start(), m.end(), _code(kind, _votes(kind, m.group(), before), m.end() - m.start())))
+            spans += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+    for kind, start, end in spans:
+        before = text[max(0, start - REACH) : start].lower()
+        found.append((kind, start, end, _code(kind, _votes(kind, text[start:end], before), end - start, before, text[end : end + 1])))
     return found
 
 
-def _unpack(code: int) -> tuple[int, list[int], int]:
-    code, size = divmod(code, 4)
-    votes = []
+def _unpack(code: int) -> tuple[int, list[int], list[int]]:
+    """Kind, votes, and the rest: length class, the sides, the word."""
+    rest, votes = [], []
+    for many in (WORDS, SIDES, SIDES, LENGTHS):
+        code, value = divmod(code, many)
+        rest.append(value)
     for _ in range(VOTES):
         code, v = divmod(code, 3)
         votes.append(v - 1)
-    return code, votes[::-1], size
+    return code, votes[::-1], rest[::-1]
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -175,13 +225,19 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     return p, theta, float(prior)
 
 
-def _features(code: int) -> np.ndarray:
-    kind, votes, size = _unpack(code)
-    x = np.zeros(1 + len(KINDS) + 4 + len(KINDS) * VOTES * 2)
-    x[0] = x[1 + kind] = x[1 + len(KINDS) + size] = 1
-    for k, v in enumerate(votes):
-        if v:
-            x[5 + len(KINDS) + (kind * VOTES + k) * 2 + (v > 0)] = 1
+def _features(codes: list[int]) -> np.ndarray:
+    """Indicators of a code's kind, its votes by kind, and the rest of it."""
+    many = (LENGTHS, SIDES, SIDES, WORDS)
+    starts = np.cumsum([1 + len(KINDS), *many])
+    x = np.zeros((len(codes), int(starts[-1]) + len(KINDS) * VOTES * 2), dtype=np.float32)
+    x[:, 0] = 1
+    for row, code in zip(x, codes):
+        kind, votes, rest = _unpack(code)
+        row[1 + kind] = 1
+        row[[int(s) + v for s, v in zip(starts, rest)]] = 1
+        for k, v in enumerate(votes):
+            if v:
+                row[int(starts[-1]) + (kind * VOTES + k) * 2 + (v > 0)] = 1
     return x
 
 
@@ -198,7 +254,7 @@ def train(counted: dict[int, int]) -> set[int]:
         if own.any():
             votes = np.array([p[1] for p, o in zip(parts, own) if o])
             soft[own] = reliabilities(votes, counts[own])[0]
-    x = np.stack([_features(int(c)) for c in codes])
+    x = _features(codes.tolist())
     w, scale = np.zeros(x.shape[1]), counts / counts.sum()
     for _ in range(50):  # Newton steps of a ridge-penalised logistic regression on soft labels
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -221,7 +277,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> set[int]:
-    """Count the codes over all documents, in each task first; at most ``len(KINDS) * 3**VOTES * 4`` rows reach the driver."""
+    """Count the codes over all documents, in each task first; at most ``CODES`` rows reach the driver, whatever the corpus."""
     small_batches(docs.sparkSession, 8 << 20)
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return train({r["code"]: r["n"] for r in counted.collect()})
@@ -229,11 +285,16 @@ def learn(docs: DataFrame, text_col: str = "text") -> set[int]:
 
 def all_spans(text: str, accepted: set[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): accepted candidates are added where they meet no span yet."""
-    base = base_spans(text)
+    base, more = base_spans(text), [c for c in candidates(text) if c[3] in accepted]
     spans = list(base)
-    for kind, start, end, code in candidates(text):
-        if code in accepted and not any(start < e and s < end for _, s, e in spans):
-            spans.append((kind, start, end))
+    if more:
+        taken = bytearray(len(text))
+        for _, start, end in base:
+            taken[start:end] = b"\1" * (end - start)
+        for kind, start, end, _ in more:
+            if 1 not in taken[start:end]:
+                spans.append((kind, start, end))
+                taken[start:end] = b"\1" * (end - start)
     return base, sorted(spans)
 
 
@@ -280,7 +341,11 @@ def find_all(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind's tag; the columns stay as they are."""
+    """The documents with every span replaced by its kind's tag; the columns stay as they are.
+
+    Null texts stay null, empty ones empty; repeated rows get the same text each; long texts are read whole; an empty
+    table gives an empty result; ``n_chars``, if there, becomes the new length.
+    """
     accepted = learn(docs)
     place, names, schema = docs.columns.index("text"), docs.columns, docs.schema
     chars = names.index("n_chars") if "n_chars" in names else None
