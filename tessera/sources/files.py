@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 FORMATS = {"CSV": "csv", "JSON": "json", "NEWLINE_DELIMITED_JSON": "json", "PARQUET": "parquet", "ORC": "orc", "AVRO": "avro"}
@@ -18,6 +20,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder with its scheme and authority."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
+def plain(path: str) -> str:
+    """A path in one form, whether Hadoop or a scan's metadata names it."""
+    scheme, mark, rest = path.partition(":/")
+    return f"{scheme}:/{unquote(rest).lstrip('/')}" if mark else "file:/" + unquote(path).lstrip("/")
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder, or the file itself."""
+    fs, p = _fs(spark, path)
+    found, names = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next().getPath()
+        if f.getName()[0] not in "._":
+            names.append(f.toString())
+    return sorted(names)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

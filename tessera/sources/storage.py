@@ -1,25 +1,30 @@
 """Versioned tables on Parquet: copy-on-write changes, time travel, snapshots, clones and transactions.
 
-A table's version is a list of folders that are never changed once written. Appending adds a folder;
-UPDATE, DELETE and MERGE write a new one; snapshots and clones copy the list, not the data. The catalog is one
-JSON file, replaced as a whole, so a change is seen entirely or not at all. One writer at a time.
+A table's version is a list of folders and files that are never changed once written. Appending adds a folder.
+UPDATE, DELETE and MERGE first find the files that hold a row to change, write those rows anew into one folder, and
+name all other files as before, so their cost follows the files they touch; snapshots and clones copy the list, not the
+data. A table that is partitioned by the days of a DATE column has a folder for each day, so that filters on it prune
+folders; with other partitions rows are sorted by the column, so that filters prune row groups. The catalog is
+one JSON file, replaced as a whole, so a change is seen entirely or not at all. One writer at a time.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import re
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.sources import files
 
 RETENTION_S = 7 * 24 * 3600
+_CHANCE = re.compile(r"\b(rand|randn|uuid|random|shuffle)\(", re.IGNORECASE)
 
 
 class NotFound(ValueError):
@@ -54,7 +59,7 @@ class Entry:
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = spark, files.qualified(spark, root)
         self.datasets: dict[str, dict] = {}
         self.entries: dict[str, Entry] = {}
         self.saved: list[tuple[dict, dict]] = []
@@ -139,14 +144,61 @@ class Warehouse:
     # -- versions
 
     def write(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/data/{name.replace('.', '/')}/{uuid.uuid4().hex}"
-        e = self.entries.get(name)
-        writer = df.write
-        if e is not None and e.clustering:
-            writer = df.sortWithinPartitions(*e.clustering).write
-        writer.parquet(path)
+        e, version = self.entries.get(name), uuid.uuid4().hex
+        column = e.partition_column if e is not None and e.partition_column in df.columns else None
+        order = [*([column] if column else []), *(c for c in (e.clustering if e is not None else []) if c != column)]
+        if column and e.partition == "DAY" and isinstance(df.schema[column].dataType, T.DateType):
+            # days go to tasks by size: large ones are split, small ones share a task
+            path = f"{self.root}/data/_table={name}/_version={version}"
+            df.hint("rebalance", F.col(f"`{column}`")).sortWithinPartitions(*order).write.partitionBy(column).parquet(path)
+            return path
+        path = f"{self.root}/data/{name.replace('.', '/')}/{version}"
+        (df.sortWithinPartitions(*order) if order else df).write.parquet(path)
         return path
 
+    def frame(self, paths: list[str], schema: T.StructType, placed: bool = False) -> DataFrame:
+        """The rows of folders and files, of which some may be partitioned by day and others not.
+
+        placed: with ``_file`` and ``_row``, the file and the place that each has, which stay as they are while the files do.
+        """
+        more = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")] if placed else []
+        if not paths:
+            found = self.spark.createDataFrame([], schema)
+            return found.selectExpr("*", "'' AS _file", "0L AS _row") if placed else found
+        within = files.plain(f"{self.root}/data/_table=")
+        daily = [p for p in paths if files.plain(p).startswith(within)]
+        plain = [p for p in paths if not files.plain(p).startswith(within)]
+        found = []
+        if daily:
+            found.append(self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*daily))
+        if plain:
+            found.append(self.spark.read.schema(schema).parquet(*plain))
+        if daily or more:
+            found = [x.select(*[F.col(f"`{f.name}`") for f in schema], *more) for x in found]
+        return found[0].union(found[1]) if len(found) > 1 else found[0]
+
+    def written(self, path: str, schema: T.StructType) -> int:
+        """The rows of a folder, as its files' footers count them."""
+        return self.frame([path], schema).count()
+
+    def split(self, name: str, touched: list[str]) -> tuple[list[str], list[str]]:
+        """What the table's version names without the touched files, and the touched files as they are listed."""
+        asked, kept, hit = {files.plain(p) for p in touched}, [], []
+        for path in self.version_at(name, None)["paths"]:
+            own = files.plain(path)
+            if not any(p == own or p.startswith(own + "/") for p in asked):
+                kept.append(path)
+                continue
+            for f in files.listing(self.spark, path):
+                (hit if files.plain(f) in asked else kept).append(f)
+        if len(hit) != len(asked):
+            raise ValueError(f"the files of {name} are not where its catalog says")
+        return kept, hit
+
+    def rewrite(self, name: str, kept: list[str], rows: DataFrame | None) -> None:
+        """Publish a version of the files that are kept and of new rows."""
+        self.publish(name, [*kept, *([self.write(name, self.check(name, rows))] if rows is not None else [])])
+
     def publish(self, name: str, paths: list[str], schema: T.StructType | None = None) -> None:
         e = self.entries[name]
         now = max(time.time(), e.versions[-1]["ts"] + 1e-6 if e.versions else 0)
@@ -177,9 +229,7 @@ class Warehouse:
     def read(self, name: str, at: float | None = None) -> DataFrame:
         v = self.version_at(name, at)
         schema = T.StructType.fromJson(json.loads(v["schema"]))
-        if not v["paths"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*v["paths"])
+        return self.frame(v["paths"], schema)
 
     def purge(self, retention_s: float = RETENTION_S) -> int:
         """Forget versions past retention, and delete the folders that nothing names any more."""
@@ -190,8 +240,18 @@ class Warehouse:
             dropped += len(e.versions) - len(keep)
             e.versions = keep
         self.save()
-        for path in before - {p for e in self.entries.values() for v in e.versions for p in v["paths"]}:
-            files.delete(self.spark, path)
+        after = {p for e in self.entries.values() for v in e.versions for p in v["paths"]}
+        named = {files.plain(p) for p in after}
+        for path in before - after:
+            own = files.plain(path)
+            if any(own.startswith(p + "/") for p in named):
+                continue  # a file of a folder that is still named
+            if not any(p.startswith(own + "/") for p in named):
+                files.delete(self.spark, path)
+                continue
+            for f in files.listing(self.spark, path):
+                if files.plain(f) not in named:
+                    files.delete(self.spark, f)
         return dropped
 
     # -- tables
@@ -203,9 +263,9 @@ class Warehouse:
         if rows is None:
             self.publish(name, [])
             return 0
-        n, df = counted(self.conform(rows, schema))
-        self.publish(name, [self.write(name, df)])
-        return n()
+        path = self.write(name, self.conform(rows, schema))
+        self.publish(name, [path])
+        return self.written(path, schema)
 
     def conform(self, df: DataFrame, schema: T.StructType) -> DataFrame:
         """Columns by position, cast to the table's types."""
@@ -222,11 +282,10 @@ class Warehouse:
 
     def append(self, name: str, df: DataFrame) -> int:
         self._writable(name)
-        n, rows = counted(self.check(name, self.conform(df, self.schema(name))))
-        path = self.write(name, rows)
+        path = self.write(name, self.check(name, self.conform(df, self.schema(name))))
         v = self.version_at(name, None)
         self.publish(name, [*v["paths"], path])
-        return n()
+        return self.written(path, self.schema(name))
 
     def replace(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> None:
         self._writable(name)
@@ -254,9 +313,9 @@ class Warehouse:
         if disposition == "WRITE_EMPTY" and not self.read(name).isEmpty():
             raise Duplicate(f"Already Exists: Table {name} is not empty")
         if disposition == "WRITE_TRUNCATE":
-            n, rows = counted(df)
-            self.publish(name, [self.write(name, rows)], df.schema)
-            return n()
+            path = self.write(name, df)
+            self.publish(name, [path], df.schema)
+            return self.written(path, df.schema)
         schema, new = self.schema(name), [f for f in df.schema if f.name not in self.schema(name).names]
         if new and not add_fields:
             raise ValueError(f"Provided schema does not match: {[f.name for f in new]}")
@@ -273,43 +332,63 @@ class Warehouse:
         return self.load(target, rows, disposition)
 
     def snapshot(self, source: str, target: str, at: float | None = None, clone: bool = False, **how) -> None:
-        v = self.version_at(source, at)
-        self.put(target, Entry("CLONE" if clone else "SNAPSHOT", v["schema"], bases=[source]), **how)
+        v, e = self.version_at(source, at), self.get(source)
+        layout = {"partition": e.partition, "partition_column": e.partition_column, "clustering": list(e.clustering)}
+        self.put(target, Entry("CLONE" if clone else "SNAPSHOT", v["schema"], bases=[source], **layout), **how)
         self.publish(target, list(v["paths"]))
 
     # -- changes, copy-on-write
 
+    def _changed(self, name: str, where: str, alias: str | None) -> tuple[int, list[str], DataFrame | None]:
+        """How many rows the predicate holds for, the files without one, and the other files' rows with ``_hit``."""
+        paths, schema, alias = self.version_at(name, None)["paths"], self.schema(name), alias or name.rsplit(".", 1)[-1]
+        if not paths:
+            return 0, [], None
+        hit = F.coalesce(F.expr(where), F.lit(False))
+        if _CHANCE.search(where):  # what differs from run to run is decided once, for all rows
+            from tessera.session import stash
+
+            decided = stash(self.frame(paths, schema).alias(alias).withColumn("_hit", hit), "decided").alias(alias)
+            return decided.where("_hit").count(), [], decided
+        found = self.frame(paths, schema, placed=True).alias(alias).where(hit).groupBy("_file").count().collect()  # a row a file
+        kept, touched = self.split(name, [r[0] for r in found])
+        return sum(r[1] for r in found), kept, self.frame(touched, schema).alias(alias).withColumn("_hit", hit)
+
     def update(self, name: str, changes: dict[str, str], where: str, alias: str | None = None) -> int:
         """Set columns to expressions where the predicate holds; the number of rows changed."""
         self._writable(name)
-        df = self.read(name).alias(alias or name.rsplit(".", 1)[-1])
-        hit = F.coalesce(F.expr(where), F.lit(False))
-        seen = Observation()
-        out = df.withColumn("_hit", hit).observe(seen, F.count_if(F.col("_hit")).alias("n"))
-        schema = self.schema(name)
-        out = out.select(*[F.when(F.col("_hit"), F.expr(changes[f.name]).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in changes else F.col(f"`{f.name}`") for f in schema])
-        self.replace(name, out)
-        return seen.get["n"]
+        n, kept, rows = self._changed(name, where, alias)
+        if n:
+            schema = self.schema(name)
+            out = [F.when(F.col("_hit"), F.expr(changes[f.name]).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in changes else F.col(f"`{f.name}`") for f in schema]
+            self.rewrite(name, kept, rows.select(*out))
+        return n
 
     def delete(self, name: str, where: str, alias: str | None = None) -> int:
         self._writable(name)
-        df = self.read(name).alias(alias or name.rsplit(".", 1)[-1])
-        seen = Observation()
-        out = df.withColumn("_hit", F.coalesce(F.expr(where), F.lit(False))).observe(seen, F.count_if(F.col("_hit")).alias("n"))
-        self.replace(name, out.where(~F.col("_hit")).drop("_hit"))
-        return seen.get["n"]
+        n, kept, rows = self._changed(name, where, alias)
+        if n:
+            self.rewrite(name, kept, rows.where(~F.col("_hit")).drop("_hit"))
+        return n
 
     def merge(self, name: str, alias: str, source: DataFrame, source_alias: str, on: str, clauses: list[dict]) -> dict[str, int]:
         """WHEN clauses in order, the first that applies wins. A target row that two source rows match fails.
 
         clause: {"when": matched | source_only | target_only, "and": predicate or None, "do": update | delete | insert, "set": {...}}
         """
-        self._writable(name)
-        schema = self.schema(name)
-        target = self.read(name).withColumn("_tid", F.monotonically_increasing_id()).alias(alias)
-        joined = target.join(source.withColumn("_sid", F.monotonically_increasing_id()).alias(source_alias), F.expr(on), "full")
         from tessera.session import stash
 
+        self._writable(name)
+        schema, paths = self.schema(name), self.version_at(name, None)["paths"]
+        source = stash(source.withColumn("_sid", F.monotonically_increasing_id()), "source").alias(source_alias)
+        if any(c["when"] == "target_only" for c in clauses):
+            kept_paths, hit = [], paths
+        else:  # every target row that meets a source row is in these files, so the rest can neither change nor stop an insert
+            met = self.frame(paths, schema, placed=True).alias(alias).join(source, F.expr(on), "left_semi").select("_file").distinct().collect() if paths else []
+            kept_paths, hit = self.split(name, [r[0] for r in met])
+        target = self.frame(hit, schema).withColumn("_tid", F.monotonically_increasing_id()).alias(alias)
+        joined = target.join(source, F.expr(on), "full")
+
         case = F.when(F.lit(False), F.lit(-1))
         for k, c in enumerate(clauses):
             applies = {"matched": "_tid IS NOT NULL AND _sid IS NOT NULL", "source_only": "_tid IS NULL", "target_only": "_sid IS NULL"}[c["when"]]
@@ -331,15 +410,16 @@ class Warehouse:
             raise ValueError("UPDATE/MERGE must match at most one source row for each target row")
         counts = {r["_do"]: r["count"] for r in done.groupBy("_do").count().collect()}
         deletes = [k for k, d in kinds.items() if d == "delete"]
+        counts = {d: sum(n for k, n in counts.items() if kinds.get(k) == d) for d in ("update", "delete", "insert")}
+        if not any(counts.values()):
+            return counts
         # target rows that several source rows meet without a change are kept once
         kept = done.where("_tid IS NOT NULL" + (f" AND _do NOT IN ({', '.join(map(str, deletes))})" if deletes else "")).dropDuplicates(["_tid"])
         inserts = [k for k, d in kinds.items() if d == "insert"]
         added = done.where(F.col("_do").isin(inserts)) if inserts else done.limit(0)
-        self.replace(name, kept.unionByName(added).select(*[f"`{f.name}`" for f in schema]))
-        return {d: sum(n for k, n in counts.items() if kinds.get(k) == d) for d in ("update", "delete", "insert")}
-
-
-def counted(df: DataFrame):
-    """A frame that counts its rows while it is written, and the count for afterwards."""
-    seen = Observation()
-    return (lambda: seen.get["n"]), df.observe(seen, F.count(F.lit(1)).alias("n"))
+        columns = [f"`{f.name}`" for f in schema]
+        if counts["update"] or counts["delete"]:
+            self.rewrite(name, kept_paths, kept.unionByName(added).select(*columns))
+        else:
+            self.rewrite(name, paths, added.select(*columns))
+        return counts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import stash
-from tessera.sources.storage import Warehouse, counted
+from tessera.sources.storage import Warehouse
 
 
 class OffsetError(ValueError):
@@ -54,9 +54,8 @@ class WriteStream:
             n = w.append(self.table, rows)
         else:
             # _n keeps the rows' order for a flush that cuts the batch; readers of the table don't see it
-            count, seen = counted(shaped.withColumn("_n", F.monotonically_increasing_id()))
-            path = w.write(self.table, seen)
-            n = count()
+            path = w.write(self.table, shaped.withColumn("_n", F.monotonically_increasing_id()))
+            n = w.written(path, w.schema(self.table))
             self.pending.append((path, n))
         self.next_offset += n
         return self.next_offset
@@ -79,10 +78,11 @@ class WriteStream:
                 shown.append(path)
                 at += n
             else:  # cut a batch: its first rows show, the rest waits on
-                rows = self.warehouse.spark.read.parquet(path)
-                edge = stash(rows.select("_n").orderBy("_n").limit(until - at), "edge")
-                shown.append(self.warehouse.write(self.table, rows.join(edge, "_n", "left_semi")))
-                rest = self.warehouse.write(self.table, rows.join(edge, "_n", "left_anti"))
+                schema = T.StructType([*self.warehouse.schema(self.table), T.StructField("_n", T.LongType())])
+                rows = self.warehouse.frame([path], schema)
+                edge = _number(rows, until - at)
+                shown.append(self.warehouse.write(self.table, rows.where(F.col("_n") < edge)))
+                rest = self.warehouse.write(self.table, rows.where(F.col("_n") >= edge))
                 self.pending[0] = (rest, n - (until - at))
                 at = until
         if shown:
@@ -91,6 +91,16 @@ class WriteStream:
         return self.flushed
 
 
+def _number(rows: DataFrame, n: int) -> int:
+    """The number ``_n`` that n rows stay below: numbers run on inside a writing task, so a row a task tells."""
+    tasks = rows.groupBy(F.shiftright("_n", 33).alias("task")).agg(F.min("_n"), F.count("*")).orderBy("task").collect()
+    for _, first, many in tasks:
+        if n <= many:
+            return first + n
+        n -= many
+    return 1 << 62
+
+
 def commit(warehouse: Warehouse, streams: list[WriteStream]) -> None:
     """Show all rows of finalized PENDING streams, of one table at one moment."""
     for s in streams:
@@ -116,11 +126,10 @@ def run_stream(warehouse: Warehouse, table: str, source: DataFrame, checkpoint:
         entry = warehouse.get(table)
         if batch <= entry.options.get("_last_batch", -1):
             return
-        n, seen = counted(warehouse.conform(rows, warehouse.schema(table)))
-        path = warehouse.write(table, seen)
+        path = warehouse.write(table, warehouse.conform(rows, warehouse.schema(table)))
         entry.options["_last_batch"] = batch
         warehouse.publish(table, [*warehouse.version_at(table, None)["paths"], path])
-        done += n()
+        done += warehouse.written(path, warehouse.schema(table))
 
     source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return done
