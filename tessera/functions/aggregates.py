@@ -123,36 +123,38 @@ def approx_quantiles(args, distinct=False, **_):
     return f"if(count({args[0]}) = 0, NULL, {picked})", "ARRAY"
 
 
+#: Values that APPROX_TOP_COUNT's sketch tracks in a group; it is exact up to three quarters of them.
+TRACKED = 100_000
+
+
+def _largest(items: str, by: str, n: str) -> str:
+    """The first n of an array of structs (value, by): the largest first, of equals the least value."""
+    order = f"(_l, _r) -> CASE WHEN _l.{by} > _r.{by} THEN -1 WHEN _l.{by} < _r.{by} THEN 1 WHEN _l.value < _r.value THEN -1 WHEN _l.value > _r.value THEN 1 ELSE 0 END"
+    return f"slice(array_sort({items}, {order}), 1, {n})"
+
+
 @_add("APPROX_TOP_COUNT")
 def approx_top_count(args, **_):
-    """Exact: the counts of a group's values, largest first, then by value."""
+    """By a sketch that is merged from the tasks' own, so that no group is gathered; values keep their type."""
     x, n = args[0], str(args[1]).removesuffix("L")
-    listed = f"array_sort(collect_list({x}))"
-    tallied = (
-        f"aggregate({listed}, cast(array() AS array<struct<value: string, count: bigint>>), "
-        "(_a, _v) -> if(size(_a) > 0 AND element_at(_a, -1).value = cast(_v AS string), "
-        "concat(slice(_a, 1, size(_a) - 1), array(named_struct('value', cast(_v AS string), 'count', element_at(_a, -1).count + 1L))), "
-        "concat(_a, array(named_struct('value', cast(_v AS string), 'count', 1L)))))"
-    )
-    order = "(_l, _r) -> CASE WHEN _l.count > _r.count THEN -1 WHEN _l.count < _r.count THEN 1 WHEN _l.value < _r.value THEN -1 WHEN _l.value > _r.value THEN 1 ELSE 0 END"
-    if SKETCHES:
-        return f"transform(approx_top_k({x}, {n}), _t -> named_struct('value', cast(_t.item AS string), 'count', _t.count))", "ARRAY<STRUCT>"
-    return f"slice(array_sort({tallied}, {order}), 1, {n})", "ARRAY<STRUCT>"
+    counted = f"transform(filter(approx_top_k({x}, {max(int(n), 10_000)}, {TRACKED}), _t -> _t.item IS NOT NULL), _t -> named_struct('value', _t.item, 'count', _t.count))"
+    return _largest(counted, "count", n), "ARRAY<STRUCT>"
 
 
 @_add("APPROX_TOP_SUM")
 def approx_top_sum(args, **_):
-    """True weights: the sums of a group's values, largest first, then by value."""
+    """True weights: the sums of a group's values; values keep their type. One pass over the sorted rows of a group."""
     x, w, n = args[0], args[1], str(args[2]).removesuffix("L")
-    listed = f"array_sort(collect_list(named_struct('v', cast({x} AS string), 'w', cast({w} AS double))))"
-    tallied = (
-        f"aggregate({listed}, cast(array() AS array<struct<value: string, sum: double>>), "
-        "(_a, _v) -> if(size(_a) > 0 AND element_at(_a, -1).value = _v.v, "
-        "concat(slice(_a, 1, size(_a) - 1), array(named_struct('value', _v.v, 'sum', element_at(_a, -1).sum + _v.w))), "
-        "concat(_a, array(named_struct('value', _v.v, 'sum', _v.w)))))"
+    rows = f"array_sort(collect_list(if(({x}) IS NULL, NULL, named_struct('v', {x}, 'w', cast({w} AS double)))))"
+    # the places where a value begins, then each value's stretch of the rows
+    starts = "filter(transform(_rows, (_e, _i) -> if(_i = 0 OR _e.v <> _rows[_i - 1].v, _i, -1)), _i -> _i >= 0)"
+    summed = (
+        "transform(_starts, (_at, _k) -> named_struct('value', _rows[_at].v, 'sum', "
+        "aggregate(slice(_rows, _at + 1, coalesce(get(_starts, _k + 1), size(_rows)) - _at), 0D, (_s, _e) -> _s + coalesce(_e.w, 0D))))"
     )
-    order = "(_l, _r) -> CASE WHEN _l.sum > _r.sum THEN -1 WHEN _l.sum < _r.sum THEN 1 WHEN _l.value < _r.value THEN -1 WHEN _l.value > _r.value THEN 1 ELSE 0 END"
-    return f"slice(array_sort({tallied}, {order}), 1, {n})", "ARRAY<STRUCT>"
+    # names for the arrays, as Spark SQL has no LET: a transform over an array of one
+    inner = f"transform(array({starts}), _starts -> {_largest(summed, 'sum', n)})[0]"
+    return f"transform(array({rows}), _rows -> {inner})[0]", "ARRAY<STRUCT>"
 
 
 @_add("HLL_COUNT.INIT")

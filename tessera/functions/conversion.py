@@ -80,8 +80,8 @@ def cast(e: Expr, name: str, spark: str, safe: bool, pattern: str | None) -> str
         return f"ts_float_text({e})"
     if name == "STRING" and e.type == "TIMESTAMP":
         return f"concat({_trimmed_text(e)}, '+00')"
-    if name == "STRING" and e.type == "BYTES":
-        return f"{f}({e} AS string)"
+    if name == "STRING" and e.type == "BYTES":  # bytes that are no UTF-8 are an error
+        return f"{'try_' if safe else ''}validate_utf8(cast({e} AS string))"
     if name == "STRING" and e.type in ("NUMERIC", "BIGNUMERIC"):
         return f"ts_decimal_text(cast({e} AS string))"
     if name == "INTERVAL":
@@ -94,7 +94,8 @@ def cast(e: Expr, name: str, spark: str, safe: bool, pattern: str | None) -> str
 
 
 def _trimmed_text(e: str) -> str:
-    return f"regexp_replace(date_format({e}, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '[.]0+$', '')"
+    """No, three or six digits of a second, as many as it takes."""
+    return f"regexp_replace(date_format({e}, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '[.]000000$|(?<=[.][0-9]{{3}})000$', '')"
 
 
 def safe(e: Expr) -> str:

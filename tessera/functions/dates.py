@@ -455,7 +455,7 @@ def string(x, zone=None):
     local = f"from_utc_timestamp({x}, {zone})" if zone is not None else x
     z = literal(zone) if zone is not None else "UTC"
     offset = "'+00'" if z == "UTC" else f"regexp_replace(ts_offset({x}, {zone}, true), ':00$', '')"
-    return f"concat(regexp_replace(date_format({local}, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '[.]0+$', ''), {offset})"
+    return f"concat(regexp_replace(date_format({local}, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '[.]000000$|(?<=[.][0-9]{{3}})000$', ''), {offset})"
 
 
 def _series(default: str):

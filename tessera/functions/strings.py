@@ -30,7 +30,6 @@ template("STARTS_WITH", "startswith({0}, {1})", "BOOL")
 template("ENDS_WITH", "endswith({0}, {1})", "BOOL")
 template("TRANSLATE", "translate({0}, {1}, {2})", "STRING")
 template("CONTAINS_SUBSTR", "contains(ts_normalize_casefold(cast({0} AS string), 'NFKC'), ts_normalize_casefold({1}, 'NFKC'))", "BOOL")
-template("REGEXP_CONTAINS", "({0} RLIKE {1})", "BOOL")
 template("REPLACE", "if({1} = '', {0}, replace({0}, {1}, {2}))", "STRING")
 
 
@@ -105,7 +104,10 @@ def substr(x, start, n=None):
         begin = f"cast(if({start} = 0, 1, if({start} < -length({x}), 1, {start})) AS int)"
     if n is None:
         return Expr(f"substring({x}, {begin})", x.type or "STRING")
-    return Expr(f"substring({x}, {begin}, cast({n} AS int))", x.type or "STRING")
+    part, size = f"substring({x}, {begin}, cast({n} AS int))", literal(n)
+    if not isinstance(size, int) or size < 0:
+        part = f"if({n} < 0, raise_error('Third argument in SUBSTR() cannot be negative'), {part})"
+    return Expr(part, x.type or "STRING")
 
 
 @rule("INITCAP", type="STRING")
@@ -140,20 +142,39 @@ def _group(pattern) -> str:
     return "1" if re.search(r"(?<!\\)\((?!\?)", re.sub(r"\[[^\]]*\]", "", v)) else "0"
 
 
+def _java(pattern):
+    """The dialect's patterns as Java's: groups lose their names, which no function asks for and Java spells otherwise."""
+    import re
+
+    v = literal(pattern)
+    if isinstance(v, str):
+        named = re.sub(r"((?:^|[^\\])(?:\\\\)*)\(\?P?<([A-Za-z_]\w*)>", r"\1(", v)
+        return pattern if named == v else Expr(quote(named), "STRING", ("literal", named))
+    return Expr(f"regexp_replace({pattern}, {quote(chr(92) + '(' + chr(92) + '?P?<[A-Za-z_]' + chr(92) + 'w*>')}, '(')", "STRING")
+
+
+@rule("REGEXP_CONTAINS", type="BOOL")
+def regexp_contains(x, pattern):
+    return f"({x} RLIKE {_java(pattern)})"
+
+
 @rule("REGEXP_EXTRACT", "REGEXP_SUBSTR", type="STRING")
 def regexp_extract(x, pattern, position="1", nth="1"):
     """No match is null, unlike Spark's empty string."""
+    pattern = _java(pattern)
     rest = x if str(position) in ("1", "1L") else f"substring({x}, cast({position} AS int))"
     return f"get(regexp_extract_all({rest}, {pattern}, {_group(pattern)}), cast({nth} AS int) - 1)"
 
 
 @rule("REGEXP_EXTRACT_ALL", type="ARRAY")
 def regexp_extract_all(x, pattern):
+    pattern = _java(pattern)
     return f"regexp_extract_all({x}, {pattern}, {_group(pattern)})"
 
 
 @rule("REGEXP_INSTR", type="INT64")
 def regexp_instr(x, pattern, position="1", nth="1", side="0"):
+    pattern = _java(pattern)
     if str(position) in ("1", "1L") and str(nth) in ("1", "1L") and str(side) in ("0", "0L"):
         return f"cast(regexp_instr({x}, {pattern}) AS bigint)"
     return f"ts_regexp_instr({x}, {pattern}, cast({position} AS bigint), cast({nth} AS bigint), cast({side} AS bigint))"
@@ -162,7 +183,7 @@ def regexp_instr(x, pattern, position="1", nth="1", side="0"):
 @rule("REGEXP_REPLACE", type="STRING")
 def regexp_replace(x, pattern, by):
     """Group references are written \\1 in the dialect and $1 in Spark."""
-    v = literal(by)
+    pattern, v = _java(pattern), literal(by)
     if isinstance(v, str):
         import re
 

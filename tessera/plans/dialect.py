@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import udfs
@@ -24,14 +25,26 @@ class Folder(Hooks):
         return f"`{view}`"
 
 
-_ready: set[int] = set()
+    def columns(self, sql):
+        return known_columns(self.spark, sql)
+
+
+def known_columns(spark: SparkSession, sql: str) -> list[str] | None:
+    """The columns of a query, if it can be analysed by itself."""
+    try:
+        return spark.sql(sql).columns
+    except AnalysisException:
+        return None
+
+
+_ready: set[str] = set()
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     configure(spark)
-    if id(spark) not in _ready:
+    if spark.sparkContext.applicationId not in _ready:
         udfs.register(spark)
-        _ready.add(id(spark))
+        _ready.add(spark.sparkContext.applicationId)
     return spark.sql(translate(sql, Folder(spark, sf_dir)))
 
 
