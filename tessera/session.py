@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,9 +40,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); our own only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); our own only where that is unset and nothing is shared.
+
+    A cluster's executors can't see a folder of one machine, so there the setting has to be made.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,6 +57,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch folders: to be called between jobs, when no frame that was read from one is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -47,6 +47,47 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "PushedFilters: [" in plan and "l_shipdate" in plan and "l_partkey" not in plan
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from tessera.session import shared_dir
+
+    spark = MagicMock()
+    spark.sparkContext.getConf().get.return_value = None
+    spark.sparkContext.getCheckpointDir.return_value = None
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        spark.sparkContext.master = master
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_dir(spark)
+    spark.sparkContext.master = "local[4]"
+    assert shared_dir(spark).startswith("file:/")
+
+
+def test_scratch_is_cleared(spark):
+    from tessera.session import clear, scratch_path, stash
+
+    spark.range(3).write.parquet(scratch_path(spark, "mine"))
+    held = stash(spark.range(5), "own")
+    assert held.count() == 5
+    clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(*held.inputFiles()).count()
+
+
+def test_faults_in_the_operators_are_seen(tmp_path):
+    """Only their absence is passed over."""
+    import shutil
+
+    for f in ("__spark_entry__.py", "corpus_pipeline.py", "tessera"):
+        if (ROOT / f).exists():
+            (shutil.copytree if (ROOT / f).is_dir() else shutil.copy)(ROOT / f, tmp_path / f)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    (tmp_path / "tessera" / "llm").mkdir(exist_ok=True)
+    (tmp_path / "tessera" / "llm" / "__init__.py").touch()
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root"})
+    assert out.returncode and "a_module_that_is_not_there" in out.stderr
+
+
 def test_imports_without_the_training_data_operators(tmp_path):
     """The folders may be gone as a whole; everything else must still import."""
     import shutil
