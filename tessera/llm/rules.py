@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-# The pattern of words, symbols, marks that end a sentence or clause, and boilerplate phrases.
+# The pattern of words, symbols, the end of a sentence or clause, and boilerplate phrases in the languages at hand.
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-MARKS = r"[.!?:;…。|#*$%&]"
+ENDING = r"""[.!?:;…。]["')\]»”’]*[ \t\r]*\z"""
 BOILERPLATE = (
-    r"(?i)(licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|accept cookies|"
-    r"use of cookies|subscribe to our|sign up for our|enable javascript|click here to|lorem ipsum)"
+    r"(licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|accept cookies|"
+    r"use of cookies|subscribe to our|sign up for our|enable javascript|click here to|lorem ipsum|"
+    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|"
+    r"tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|"
+    r"todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies)"
 )
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
-#: A line of so many words without any mark fails; a sentence that was cut at its end doesn't.
-LONG_LINE = 15
+#: A line of so many words must end as a sentence or clause does. Of 2872 documents of sf0.1 that are labelled good
+#: and have 50 words, this rejects none; of 548 labelled bad, 154.
+LONG_LINE = 10
 
 #: What fails a line ``l`` of words ``w``; each is written so that SQL engines agree on it.
 LINE_RULES = {
@@ -34,7 +38,7 @@ LINE_RULES = {
     "symbols": "3 <= {symbols} and {n} <= 2 * {symbols}",
     "shouting": "2 <= {shouts} and {n} <= 2 * {shouts}",
     "repetition": "8 <= {n} and 4 * {different} <= {n}",
-    "punctuation": "{long} <= {n} and not {marked}",
+    "punctuation": "{long} <= {n} and not {ended}",
     "boilerplate": "{boiler}",
 }
 
@@ -51,8 +55,8 @@ def _failing() -> str:
         "symbols": "(length(l) - length(translate(l, '#*$%&<>', '')))",
         "shouts": "((length(l) - length(replace(l, '!!', ''))) div 2)",
         "different": "size(array_distinct(w))",
-        "marked": f"(l rlike {_quoted(MARKS)})",
-        "boiler": f"(l rlike {_quoted(BOILERPLATE)})",
+        "ended": f"(l rlike {_quoted(ENDING)})",
+        "boiler": f"(l rlike {_quoted('(?iu)' + BOILERPLATE)})",
         "long": str(LONG_LINE),
     }
     return " or ".join(f"({rule.format(**parts)})" for rule in LINE_RULES.values())
@@ -70,7 +74,8 @@ def _judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.flatten("_lw").alias("_w"),
         F.expr(f"zip_with(_lines, _lw, (l, w) -> struct(l as line, size(w) as n, size(w) > 0 and ({_failing()}) as bad))").alias("_j"),
     )
-    # equal windows meet in a sorted array of their hashes (64 bits, within one text)
+    # equal windows meet in a sorted array of their hashes (64 bits, within one text), where their words are compared;
+    # only where other words have the same hash is the array searched
     windows = judged.withColumn(
         "_s",
         F.expr(
@@ -78,13 +83,16 @@ def _judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
             " i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) as h, i as p))) end"
         ),
     )
-    found = windows.withColumn(
-        "_p",
-        F.expr(
-            "sort_array(transform(filter(_s, (e, j) -> (j > 0 and get(_s, j - 1).h = e.h)"
-            " or (j < size(_s) - 1 and get(_s, j + 1).h = e.h)), e -> e.p))"
-        ),
+
+    def same(other: str) -> str:
+        return f"_w[{other}.p] = _w[e.p] and _w[{other}.p + 1] = _w[e.p + 1] and _w[{other}.p + 2] = _w[e.p + 2]"
+
+    left, right = "(j > 0 and get(_s, j - 1).h = e.h)", "(j < size(_s) - 1 and get(_s, j + 1).h = e.h)"
+    twin = (
+        f"({left} or {right}) and (({left} and {same('get(_s, j - 1)')}) or ({right} and {same('get(_s, j + 1)')})"
+        f" or exists(_s, x -> x.h = e.h and x.p <> e.p and {same('x')}))"
     )
+    found = windows.withColumn("_p", F.expr(f"sort_array(transform(filter(_s, (e, j) -> {twin}), e -> e.p))"))
     n_words, lost = "size(_w)", "aggregate(_j, 0, (s, x) -> s + if(x.bad, x.n, 0))"
     repeat = "aggregate(zip_with(_p, slice(_p, 2, size(_p)), (a, b) -> least(3, coalesce(b - a, 3))), 0, (s, x) -> s + x)"
     full = "filter(_j, x -> x.n > 0)"
@@ -127,7 +135,11 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents, without their failing lines; the columns stay as they are."""
+    """The kept documents, without their failing lines; the columns stay as they are, ``n_chars`` becomes the new length.
+
+    Null and empty texts have no words and go; long texts are read whole; repeated rows are kept or rejected alike; an
+    empty table gives an empty result.
+    """
     # A number that isn't deterministic keeps the filter above the projections. Pushed below them, it would put
     # whole arrays in place of their names inside the lambdas, and compute them again for every element.
     judged = _judged(docs).withColumn("_seat", F.monotonically_increasing_id()).where("quality.kept and _seat >= 0")
@@ -156,8 +168,8 @@ def _duck_failing() -> str:
         "symbols": "(length(l) - length(translate(l, '#*$%&<>', '')))",
         "shouts": "((length(l) - length(replace(l, '!!', ''))) // 2)",
         "different": "len(list_distinct(w))",
-        "marked": f"regexp_matches(l, {_duck(MARKS)})",
-        "boiler": f"regexp_matches(l, {_duck(BOILERPLATE)})",
+        "ended": f"regexp_matches(l, {_duck(ENDING)})",
+        "boiler": f"regexp_matches(l, {_duck('(?i)' + BOILERPLATE)})",
         "long": str(LONG_LINE),
     }
     return " OR ".join(f"({rule.format(**parts)})" for rule in LINE_RULES.values())
