@@ -16,14 +16,16 @@ from tessera.llm.common import table, text_of
 # The pattern of words, symbols, the end of a sentence or clause, and boilerplate phrases in the languages at hand.
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-ENDING = r"""[.!?:;…。]["')\]»”’]*[ \t\r]*\z"""
+ENDINGS = ".!?:;…。"
+#: What may stand behind a mark: closing quotes and brackets, blanks.
+BEHIND = "\"')]»”’ \t\r"
 BOILERPLATE = (
-    r"(licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|accept cookies|"
-    r"use of cookies|subscribe to our|sign up for our|enable javascript|click here to|lorem ipsum|"
-    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|"
-    r"tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|"
-    r"todos los derechos reservados|política de privacidad|términos de uso|aceptar cookies)"
-)
+    "licensed under", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "accept cookies",
+    "use of cookies", "subscribe to our", "sign up for our", "enable javascript", "click here to", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies",
+)
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -47,16 +49,21 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _phrases(text: str, quoted) -> str:
+    """Whether a lower-case text has a boilerplate phrase."""
+    return " or ".join(f"contains({text}, {quoted(p)})" for p in BOILERPLATE)
+
+
 def _failing() -> str:
-    """SQL over the lambda variables l (a line) and w (its words)."""
+    """SQL over the lambda variables l (a line) and w (its words), and the column _b: whether the text has a phrase at all."""
     parts = {
         "n": "size(w)",
         "bars": "(length(l) - length(replace(l, '|', '')))",
         "symbols": "(length(l) - length(translate(l, '#*$%&<>', '')))",
         "shouts": "((length(l) - length(replace(l, '!!', ''))) div 2)",
         "different": "size(array_distinct(w))",
-        "ended": f"(l rlike {_quoted(ENDING)})",
-        "boiler": f"(l rlike {_quoted('(?iu)' + BOILERPLATE)})",
+        "ended": f"contains({_quoted(ENDINGS)}, right(rtrim({_quoted(BEHIND)}, l), 1))",
+        "boiler": f"(_b and ({_phrases('lower(l)', _quoted)}))",
         "long": str(LONG_LINE),
     }
     return " or ".join(f"({rule.format(**parts)})" for rule in LINE_RULES.values())
@@ -66,7 +73,8 @@ def _judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, quality): the documents' own columns in one struct, so that no name can clash, and the verdict."""
     own = [F.col("row")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("_t"))
-    lines = packed.withColumn("_lines", F.split("_t", "\n"))
+    lowered = packed.withColumn("_low", F.lower("_t"))
+    lines = lowered.select("row", "_t", F.expr(_phrases("_low", _quoted)).alias("_b"), F.split("_t", "\n").alias("_lines"))
     split = lines.withColumn("_lw", F.expr(f"transform(_lines, l -> regexp_extract_all(l, {_quoted(WORD)}, 0))"))
     judged = split.select(
         *own,
@@ -168,8 +176,8 @@ def _duck_failing() -> str:
         "symbols": "(length(l) - length(translate(l, '#*$%&<>', '')))",
         "shouts": "((length(l) - length(replace(l, '!!', ''))) // 2)",
         "different": "len(list_distinct(w))",
-        "ended": f"regexp_matches(l, {_duck(ENDING)})",
-        "boiler": f"regexp_matches(l, {_duck('(?i)' + BOILERPLATE)})",
+        "ended": f"contains({_duck(ENDINGS)}, right(rtrim(l, {_duck(BEHIND)}), 1))",
+        "boiler": f"({_phrases('lower(l)', _duck)})",
         "long": str(LONG_LINE),
     }
     return " OR ".join(f"({rule.format(**parts)})" for rule in LINE_RULES.values())
