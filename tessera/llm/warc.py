@@ -1,22 +1,29 @@
 """WARC records in ZIP-packaged archives: written, located and range-read without extraction.
 
 An archive is a ZIP file with two stored (uncompressed) members: ``archive/data.warc.gz``, where every record
-is a gzip member of its own, and ``indexes/index.cdxj``, a line a record with its offset and length. The
-reader finds the end record, follows the ZIP64 locator where there is one, parses the central directory,
-derives where a stored member's bytes begin from its local header, and then reads records by their
+is a gzip member of its own, and ``indexes/index.cdxj``, sorted lines of a record's key, time and a JSON object with its
+offset and length. The reader finds the end record, follows the ZIP64 locator where there is one, parses the
+central directory, derives where a stored member's bytes begin from its local header, and then reads records by their
 ranges alone. Files are opened through Arrow's file systems, so a shared folder can be local or in a store.
+
+Records are WARC/1.1: a response's block is an HTTP response whose entity is the payload, a revisit's block is the
+HTTP head alone. The page's id stands in a field of its own, ``X-Page-ID``.
 """
 
 from __future__ import annotations
 
+import base64
+import datetime
 import gzip
 import hashlib
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -41,6 +48,8 @@ LEAST_REVISIT = 1000
 #: An archive is closed once its records have so many bytes; a reader's range has about as many as the second.
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
+#: Repeated digests are broadcast up to this number, 40 bytes each.
+FEW = 500_000
 
 
 @dataclass
@@ -105,24 +114,49 @@ def begin(f, member: Member) -> int:
     return member.header + 30 + sum(struct.unpack_from("<HH", local, 26))
 
 
-def record(kind: str, name: str, uri: str, digest: str, refers_to: str | None, block: bytes) -> bytes:
-    """A WARC 1.1 record, gzipped on its own."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
+def record_id(*parts: object) -> str:
+    """The id that parts stand for, always the same one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
+
+
+def record(kind: str, own: str, page: int | None, uri: str, date: str, payload: bytes, digest: str, refers_to: tuple[str, int] | None = None) -> bytes:
+    """A WARC/1.1 record, gzipped on its own. refers_to: the id and the page of the record that has the payload."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = head if refers_to else head + payload
+    fields = {
+        "WARC-Type": kind, "WARC-Record-ID": own, "WARC-Date": date, "WARC-Target-URI": uri,
+        "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
+        "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)),
+    }
+    if page is not None:
+        fields["X-Page-ID"] = str(page)
+    if refers_to:
+        fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        fields["WARC-Refers-To"], fields["X-Refers-To-Page-ID"] = refers_to[0], str(refers_to[1])
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items()), "", ""]
     return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers (names in lower case) and the block of a gzipped record."""
-    whole = zlib.decompress(data, wbits=31)
-    head, _, rest = whole.partition(b"\r\n\r\n")
+def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """The record's fields, its HTTP fields (names in lower case) and its payload."""
+    head, _, rest = zlib.decompress(data, wbits=31).partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-    return headers, rest[: int(headers["content-length"])]
+    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    status, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    http = {k.lower(): v for k, _, v in (x.partition(": ") for x in status.decode().split("\r\n")[1:])}
+    return fields, http, payload
+
+
+def sort_key(uri: str) -> str:
+    """The host's labels from the last to the first, then the path; what has no host stands as it is."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return quote(uri.lower()) or "-"
+    host, slash, path = rest.partition("/")
+    name, colon, port = host.lower().partition(":")
+    return quote(",".join(reversed(name.split("."))) + colon + port + ")" + (slash or "/") + path.lower(), safe=",:()/?&=%;+@!$*'~")
 
 
 class Archive:
@@ -137,35 +171,41 @@ class Archive:
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.size, self.lines = 0, []
 
-    def add(self, page: str, kind: str, data: bytes) -> None:
+    def add(self, uri: str, date: str, digest: str, data: bytes) -> None:
         self.data.write(data)
-        self.lines.append(json.dumps({"page": page, "type": kind, "offset": self.size, "length": len(data)}))
+        time = "".join(c for c in date if c.isdigit())
+        entry = {"url": uri, "digest": f"sha1:{digest}", "filename": DATA, "offset": str(self.size), "length": str(len(data))}
+        self.lines.append(f"{sort_key(uri)} {time} {json.dumps(entry)}")
         self.size += len(data)
 
     def close(self) -> tuple[str, int, int]:
         self.data.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(sorted(self.lines)))
         self.zip.close()
         self.out.close()
         self.store.move(self.temporary, self.path)
         return self.uri, len(self.lines), self.size
 
 
-def write(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES, few: int = FEW) -> DataFrame:
     """Archives of a record per row of (page_id, url, html) -> (archive, records, bytes), a row an archive.
 
-    Payloads are grouped by digest and length through a pre-aggregated maximum; only digests that occur more than
-    once meet the pages again, in a join that adaptive execution broadcasts if they are few and splits if one is hot.
+    Payloads are grouped by digest through a pre-aggregated maximum; only digests that occur more than once meet the
+    pages again. They are broadcast if there are at most ``few`` (40 bytes each), so that no payload is shuffled;
+    beyond that they are joined by a shuffle, which adaptive execution splits where one digest is hot.
     """
     spark = pages.sparkSession
     small_batches(spark, 8 << 20)
     folder = scratch_path(spark, "warc")
+    date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     digested = slim.withColumn("digest", F.sha1("payload"))
     groups = digested.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select(F.col("digest").alias("g_digest"), "first")
-    typed = digested.join(groups, F.col("digest") == F.col("g_digest"), "left").select("page_id", "url", "payload", "digest", "first")
+    groups = stash(groups.where("n > 1").select(F.unhex("digest").alias("g_digest"), "first"), "digests")
+    if groups.count() <= few:
+        groups = F.broadcast(groups)
+    typed = digested.join(groups, F.unhex("digest") == F.col("g_digest"), "left").select("page_id", "url", "payload", "digest", "first")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, open_, number = TaskContext.get(), None, 0
@@ -174,11 +214,11 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARC
             for page, url, body, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if open_ is None:
                     open_, number = Archive(folder, f"{task.partitionId():06d}-{number:04d}", task.taskAttemptId()), number + 1
-                again = first is not None and first != page
-                name = "" if page is None else str(page)
-                uri = " ".join(url.split())
-                kind = "revisit" if again else "response"
-                open_.add(name, kind, record(kind, name, uri, digest, str(first) if again else None, b"" if again else body))
+                again, shared = first is not None and first != page, record_id("payload of", first, digest)
+                # a record that others refer to has the id that they know; any other one that of its place
+                own = shared if first is not None and not again else record_id(folder, open_.path, len(open_.lines))
+                uri, kind = " ".join(url.split()) or "urn:page:-", "revisit" if again else "response"
+                open_.add(uri, date, digest, record(kind, own, page, uri, date, body, digest, (shared, first) if again else None))
                 if open_.size >= archive_bytes:
                     done.append(open_.close())
                     open_ = None
@@ -203,11 +243,14 @@ def locate(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     index = members[INDEX]
                     lines = f.read_at(index.size, begin(f, index)).decode().splitlines()
                 rows, sizes, start = [], [], 0
-                for entry in map(json.loads, lines):
-                    if sizes and sum(sizes) + entry["length"] > range_bytes:
+                entries = (json.loads(x.split(" ", 2)[2]) for x in lines)
+                total = 0
+                for offset, length in sorted((int(e["offset"]), int(e["length"])) for e in entries):
+                    if sizes and total + length > range_bytes:
                         rows.append((uri, base + start, sizes))
-                        start, sizes = entry["offset"], []
-                    sizes.append(entry["length"])
+                        start, sizes, total = offset, [], 0
+                    sizes.append(length)
+                    total += length
                 rows += [(uri, base + start, sizes)] if sizes else []
                 yield pa.RecordBatch.from_pydict(dict(zip(("archive", "begin", "sizes"), zip(*rows))), pa.schema([("archive", pa.string()), ("begin", pa.int64()), ("sizes", pa.list_(pa.int64()))]))
 
@@ -222,13 +265,12 @@ def _tasks(spark: SparkSession) -> int:
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """(page_id, record_type, refers_to, digest, payload_bytes, payload) of every record, read by its range.
 
-    A response's length and digest come from the payload itself; a revisit has its header's digest and a null length.
+    A response's length and digest come from the payload itself; a revisit has its field's digest and a null length.
     """
     spread = locate(archives)
     spread = spread.repartition(_tasks(archives.sparkSession), "archive", "begin")
 
-    def page(urn: str | None) -> int | None:
-        text = urn[len("<urn:page:") : -1] if urn else ""
+    def page(text: str | None) -> int | None:
         return int(text) if text else None
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +281,13 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     data = f.read_at(sum(sizes), at)
                 rows, place = [], 0
                 for size in sizes:
-                    headers, body = parse(data[place : place + size])
+                    fields, _, body = parse(data[place : place + size])
                     place += size
-                    response = headers["warc-type"] == "response"
-                    digest = hashlib.sha1(body).hexdigest() if response else headers["warc-payload-digest"].removeprefix("sha1:")
-                    if response and digest != headers["warc-payload-digest"].removeprefix("sha1:"):
+                    response = fields["warc-type"] == "response"
+                    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    if response and digest != hashlib.sha1(body).hexdigest():
                         raise ValueError(f"{uri} at {at}: the payload's digest differs")
-                    rows.append((page(headers["warc-record-id"]), headers["warc-type"], page(headers.get("warc-refers-to")), digest, len(body) if response else None, body if with_payload else None))
+                    rows.append((page(fields.get("x-page-id")), fields["warc-type"], page(fields.get("x-refers-to-page-id")), digest, len(body) if response else None, body if with_payload else None))
                 schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows))), schema)
 
