@@ -13,7 +13,7 @@ hash first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, table, text_of
@@ -40,26 +40,33 @@ def targets(per: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    weighed = per.withColumn("weight", turn.cast("long")).withColumn("most", cap * F.col("source_size"))
+    whole = "decimal(38,0)"  # products of sizes and weights over very many sources pass 64 bits
+    weighed = per.withColumn("weight", turn.cast("long")).withColumn("most", (cap * F.col("source_size")).cast(whole))
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fuller = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    fuller = Window.orderBy(F.col("most").cast("double") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     room = weighed.select(
         "*",
-        (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(fuller), F.lit(0))).alias("rest"),
-        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fuller), F.lit(0))).alias("sharing"),
+        (F.sum(F.col("source_size").cast(whole)).over(every) - F.coalesce(F.sum("most").over(fuller), F.lit(0))).cast(whole).alias("rest"),
+        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fuller), F.lit(0))).cast("decimal(18,0)").alias("sharing"),
     )
     # full: its cap is within its share of what the fuller sources before it left
-    marked = room.withColumn("full", F.col("most") * F.col("sharing") <= F.col("weight") * F.col("rest"))
+    marked = room.withColumn("full", (F.col("most") * F.col("sharing")).cast(whole) <= (F.col("weight") * F.col("rest")).cast(whole))
     open_rest = F.max(F.when(~F.col("full"), F.col("rest"))).over(every)
     open_weight = F.max(F.when(~F.col("full"), F.col("sharing"))).over(every)
-    share = (F.col("weight") * open_rest).cast("double") / open_weight
+    share = (F.col("weight") * open_rest).cast("double") / open_weight.cast("double")
     return marked.select("source", "docs", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+def _total(term: Column) -> Column:
+    """The sum of doubles, each rounded to twelve places, whatever their order."""
+    return F.sum(term.cast("decimal(38,12)")).cast("double")
+
+
 def balance(histogram: DataFrame, goal: DataFrame, cap: int = CAP, steps: int = STEPS) -> DataFrame:
     """(source, lam): the dual's solution, by Newton steps kept inside a shrinking bracket.
 
-    lam is null where every document is at the cap, or none has a word.
+    lam is null where every document is at the cap, or none has a word. Sums are taken over decimals, so that they don't
+    depend on the order in which a shuffle brings the terms, and reruns agree to the last bit.
     """
     scaled = histogram.join(goal, F.col("h_source").eqNullSafe(F.col("source"))).select(
         "source", "size", "n", (F.col("size") * F.col("docs") / F.col("source_size")).alias("x")
@@ -76,7 +83,7 @@ def balance(histogram: DataFrame, goal: DataFrame, cap: int = CAP, steps: int =
         rate, words = F.least(raw, F.lit(float(cap))), F.col("n") * F.col("size")
         sums = at.groupBy("source").agg(
             F.first("target").alias("target"), F.first("lam").alias("lam"), F.first("low").alias("low"), F.first("high").alias("high"),
-            F.sum(words * rate).alias("mass"), F.sum(F.when(raw < cap, words * F.col("x") * raw).otherwise(0.0)).alias("slope"),
+            _total(words * rate).alias("mass"), _total(F.when(raw < cap, words * F.col("x") * raw).otherwise(0.0)).alias("slope"),
         )
         over = F.col("mass") > F.col("target")
         bracket = sums.withColumn("low2", F.when(over, F.col("low")).otherwise(F.col("lam"))).withColumn("high2", F.when(over, F.col("lam")).otherwise(F.col("high")))
@@ -155,7 +162,11 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The documents, each as often as the mix takes it; rows without copies go, and the columns stay as they are."""
+    """The documents, each as often as the mix takes it; rows without copies go, and the columns stay as they are.
+
+    Null and empty texts have no words and one copy; a null source is a source of its own; repeated rows and rows with
+    null or repeated ids each have their own copies; an empty table gives an empty result.
+    """
     # the documents' columns travel in one struct, so that no name can clash; a stored key tells the rows apart, as
     # ids may be null or repeated
     packed = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
