@@ -5,11 +5,11 @@ half holds at most one. Each half is indexed under its 32 variants with one bit
 that differ in one bit or none meet under an equal key, and an equality join with a check of the
 whole fingerprint finds every pair within three bits.
 
-Only different fingerprints take part; copies share theirs and need no pairs. Keys with one holder are
-dropped by a count in the same sort. Crowded keys (over ``CROWD`` fingerprints) never emit all pairs:
-their holders are first tied through whole-fingerprint ball keys (holders of one key lie within two
-bits of each other, so a star to the least of them loses nothing), and the remaining pair check of a
-crowded key only emits links between fingerprints that are still in different components.
+Only different fingerprints take part; copies share theirs and need no pairs. Keys with one holder are dropped by
+pre-aggregated counts. Crowded keys (over ``CROWD`` fingerprints) never emit all pairs: their holders are first
+tied through whole-fingerprint ball keys (holders of one key lie within two bits of each other, so a star to the
+least of them loses nothing). Crowded keys whose holders are then still in different components are compared block
+against block, so that no task has more than two blocks of them, and emit links between components alone.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 CROWD = 128
+#: Holders of a crowded key that meet as many others in one join key.
+BLOCK = 1024
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,24 +81,34 @@ def _linked(one: str, other: str, slot: str):
     return F.expr(f"{stands} and bit_count({one} ^ {other}) <= {MAX_BITS}")
 
 
-def _pairs(keys: DataFrame, *more) -> DataFrame:
-    extra = [c for c in keys.columns if c == "root"]
-    left = keys.select("slot", "rest", F.col("fp").alias("a"), *[F.col(c).alias("root_a") for c in extra])
-    right = keys.select("slot", "rest", F.col("fp").alias("b"), *[F.col(c).alias("root_b") for c in extra])
-    cond = (F.col("a") < F.col("b")) & _linked("a", "b", "slot")
-    for m in more:
-        cond = cond & m
-    pair = left.join(right.withColumnRenamed("slot", "slot2").withColumnRenamed("rest", "rest2"), (F.col("slot") == F.col("slot2")) & (F.col("rest") == F.col("rest2")) & cond)
-    return pair.select("a", "b")
+def _pairs(keys: DataFrame) -> DataFrame:
+    """Links (a, b) among (slot, rest, fp) that share a key."""
+    left = keys.select("slot", "rest", F.col("fp").alias("a"))
+    right = keys.select(F.col("slot").alias("slot2"), F.col("rest").alias("rest2"), F.col("fp").alias("b"))
+    return left.join(right, F.expr("slot = slot2 and rest = rest2 and a < b") & _linked("a", "b", "slot")).select("a", "b")
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def _across(rooted: DataFrame, block: int) -> DataFrame:
+    """Links between components among (slot, rest, fp, root), for keys of any size."""
+    key = ["slot", "rest"]
+    sizes = rooted.groupBy(*key).agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    sizes = sizes.select(*[F.col(c).alias(f"{c}0") for c in key], F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    held = rooted.join(sizes, (F.col("slot") == F.col("slot0")) & (F.col("rest") == F.col("rest0"))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    held = stash(held.select(*key, "fp", "root", "own", "blocks"), "across")
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # a pair meets once: the smaller fingerprint's block is the first, the larger one's the second
+    left = held.select(*key, F.col("fp").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("i"), meets.alias("j"))
+    right = held.select(F.col("slot").alias("slot2"), F.col("rest").alias("rest2"), F.col("fp").alias("b"), F.col("root").alias("root_b"), meets.alias("i2"), F.col("own").alias("j2"))
+    met = F.expr("slot = slot2 and rest = rest2 and i = i2 and j = j2 and a < b and root_a <> root_b")
+    return left.join(right, met & _linked("a", "b", "slot")).select("a", "b")
+
+
+def links(fps: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Different fingerprints (fp) -> edges (a, b) with the same components as all pairs within three bits."""
-    spark = fps.sparkSession
     keys = fps.select("fp", F.explode(_variants("fp")).alias("k")).select("fp", "k.slot", "k.rest")
-    counted = keys.withColumn("n", F.expr("count(*) over (partition by slot, rest)")).where("n > 1")
-    held = stash(counted, "keys")
-    edges = _pairs(held.where(F.col("n") <= crowd).drop("n"))
+    shared = keys.groupBy("slot", "rest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("slot").alias("s"), F.col("rest").alias("r"), "n")
+    held = stash(keys.join(shared, (F.col("slot") == F.col("s")) & (F.col("rest") == F.col("r"))).select("slot", "rest", "fp", "n"), "keys")
+    edges = _pairs(held.where(F.col("n") <= crowd))
     hot = held.where(F.col("n") > crowd)
     if hot.limit(1).count() == 0:
         return edges
@@ -109,11 +121,10 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     edges = stash(edges.union(tied.distinct()), "links")
     roots = components(edges)
     rooted = hot.drop("n").join(roots, hot.fp == roots.node, "left").select("slot", "rest", "fp", F.coalesce("root", "fp").alias("root"))
-    across = _pairs(stash(rooted, "rooted"), F.col("root_a") != F.col("root_b"))
-    return edges.union(across)
+    return edges.union(_across(stash(rooted, "rooted"), block))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
     ``fingerprint`` has 16 lowercase hex digits; ``component_id`` is the smallest id reachable over links of
@@ -126,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stash(slim.mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
     classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), crowd))
+    roots = components(links(classes.select("fp"), crowd, block))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(rooted.join(first, "root").select("fp", "component_id"), "named")
