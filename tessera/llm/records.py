@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,42 +142,109 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
         yield pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), ("shard", pa.int32()), ("bytes", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    ranged = slim.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    # ranges over the text's hash too, so that one doc_id in very many rows, or null, is no single range
+    ranged = slim.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
     files = stash(ranged.mapInArrow(put, "file string, shard int, bytes long, docs long, ids long"), "files")
     # one row a file: a running sum over files, not over rows
     return files.withColumn("base", F.expr("coalesce(sum(ids) over (order by shard rows between unbounded preceding and 1 preceding), 0)"))
 
 
+def _spread(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _index(name: str) -> np.ndarray:
+    store, root = pafs.FileSystem.from_uri(name)
+    with store.open_input_stream(f"{root}.idx") as side:
+        return np.frombuffer(side.read(), dtype=_INDEX)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of about ``block`` bytes of records: a file's index is read once."""
+    for batch in batches:
+        for name, base, size in zip(*(c.to_pylist() for c in batch.columns)):
+            offsets = _index(name)["offset"]
+            first = np.unique(np.searchsorted(offsets, np.arange(0, size, block)))
+            first = first[first < len(offsets)]
+            ends = np.append(first[1:], len(offsets))
+            begins = offsets[first]
+            sizes = np.append(begins[1:], size) - begins
+            columns = [pa.array([name] * len(first), pa.string()), pa.array([base] * len(first), pa.int64()), *(pa.array(x, pa.int64()) for x in (first, ends - first, begins, sizes))]
+            yield pa.record_batch(columns, names=["file", "base", "first", "many", "begin", "size"])
+
+
+def _tokens(payload: bytes) -> tuple[int | None, np.ndarray]:
+    null, doc, width = struct.unpack_from(_HEAD, payload)
+    return None if null else doc, np.frombuffer(payload, dtype=f"<u{width}", offset=struct.calcsize(_HEAD)).astype("<u4")
+
+
 def read(files: DataFrame, block: int = READ) -> DataFrame:
     """Read the files back, in blocks that the index delimits -> (doc_id, start, n_tokens, ids_crc32)."""
-    spark = files.sparkSession
-    blocks = files.select("file", "base", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {block}L)")).alias("begin"))
-    blocks = blocks.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file", "begin")
+    spread = files.select("file", "base", "bytes").repartition(_spread(files.sparkSession), "file")
+    blocks = spread.mapInArrow(lambda rows: _blocks(rows, block), "file string, base long, first long, many long, begin long, size long")
+    blocks = blocks.repartition(_spread(files.sparkSession), "file", "begin")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base, begin in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, base, first, many, begin, size in zip(*(c.to_pylist() for c in batch.columns)):
                 store, root = pafs.FileSystem.from_uri(name)
-                with store.open_input_stream(f"{root}.idx") as side:
-                    index = np.frombuffer(side.read(), dtype=_INDEX)
-                a, b = np.searchsorted(index["offset"], [begin, begin + block])
-                if a == b:
-                    continue
+                with store.open_input_file(f"{root}.idx") as side:
+                    starts = np.frombuffer(side.read_at(many * _INDEX.itemsize, first * _INDEX.itemsize), dtype=_INDEX)["start"]
                 with store.open_input_file(f"{root}.rec") as f:
-                    start = int(index["offset"][a])
-                    stop = int(index["offset"][b]) if b < len(index) else f.size()
-                    data = f.read_at(stop - start, start)
+                    data = f.read_at(size, begin)
                 rows, at = [], 0
-                for k in range(a, b):
+                for start in starts.tolist():
                     payload, at = unframe(data, at)
-                    null, doc, width = struct.unpack_from(_HEAD, payload)
-                    tokens = np.frombuffer(payload, dtype=f"<u{width}", offset=struct.calcsize(_HEAD)).astype("<u4").tobytes()
-                    rows.append((None if null else doc, base + int(index["start"][k]), len(tokens) // 4, zlib.crc32(tokens)))
+                    doc, tokens = _tokens(payload)
+                    rows.append((doc, base + start, len(tokens), zlib.crc32(tokens.tobytes())))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def index(files: DataFrame) -> DataFrame:
+    """(file, offset, size, start, n_tokens) of every record: what a loader needs to read any of them alone."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, base, size in zip(*(c.to_pylist() for c in batch.columns)):
+                held = _index(name)
+                sizes = np.append(held["offset"][1:], size) - held["offset"]
+                columns = [pa.array([name] * len(held), pa.string()), *(pa.array(x, pa.int64()) for x in (held["offset"], sizes, held["start"] + base, held["ids"]))]
+                yield pa.record_batch(columns, names=["file", "offset", "size", "start", "n_tokens"])
+
+    spread = files.select("file", "base", "bytes").repartition(_spread(files.sparkSession), "file")
+    return spread.mapInArrow(look, "file string, offset long, size long, start long, n_tokens long")
+
+
+def fetch(located: DataFrame) -> DataFrame:
+    """Rows of :func:`index`, in any order and any choice of them -> the same with doc_id and token_ids, read one by one."""
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=64)
+        def opened(name: str) -> pa.NativeFile:
+            store, root = pafs.FileSystem.from_uri(name)
+            return store.open_input_file(f"{root}.rec")
+
+        for batch in batches:
+            docs, ids = [], []
+            for file, offset, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                doc, tokens = _tokens(unframe(opened(file).read_at(size, offset), 0)[0])
+                docs.append(doc)
+                ids.append(tokens)
+            yield pa.record_batch([*batch.columns, pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))], names=[*batch.schema.names, "doc_id", "token_ids"])
+
+    slim = located.select("file", "offset", "size", "start", "n_tokens")
+    return slim.mapInArrow(get, "file string, offset long, size long, start long, n_tokens long, doc_id long, token_ids array<long>")
+
+
+def shuffled(files: DataFrame, seed: int = 0) -> DataFrame:
+    """Every record, in an order that the seed draws over all files: only index rows are shuffled, not the records."""
+    order = F.xxhash64(F.lit(seed), "file", "offset")
+    drawn = index(files).withColumn("_order", order).repartitionByRange(_spread(files.sparkSession), "_order").sortWithinPartitions("_order")
+    return fetch(drawn)
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts are the end id alone; null doc_ids come first; rows that repeat a doc_id follow each
     other in any order; an empty table gives an empty result."""
