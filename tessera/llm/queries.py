@@ -21,8 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {
-    "op1_warc": warc.ORACLE,
-    "op5_quality_rules": rules.ORACLE,
-    "op10_sharding": sharding.ORACLE,
-}
+
+def __getattr__(name: str):
+    """``ORACLES`` is made when it is asked for, as the sharding table is filled for it."""
+    if name == "ORACLES":
+        return {"op1_warc": warc.ORACLE, "op5_quality_rules": rules.ORACLE, "op10_sharding": sharding.oracle()}
+    raise AttributeError(name)

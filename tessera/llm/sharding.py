@@ -81,7 +81,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
-def _oracle() -> str:
+def oracle() -> str:
+    """The query in SQL, with the filled table written out."""
     filled = ", ".join(map(str, fill([f"shard-{k:05d}" for k in range(SHARDS)])))
     return f"""
 WITH filled AS (SELECT [{filled}] AS owner),
@@ -91,5 +92,3 @@ SELECT doc_id, slot, owner[slot + 1]::INTEGER AS shard, octet_length(encode(coal
 FROM placed, filled
 """
 
-
-ORACLE = _oracle()
