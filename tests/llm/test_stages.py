@@ -56,9 +56,10 @@ def test_near_duplicates_on_documents(spark):
     assert kept(docs) == brute_kept([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_near_duplicate_links(spark, monkeypatch, stars):
+@pytest.mark.parametrize("stars,block", [(0, 256), (0, 5), (1, 2), (2, 3)])
+def test_near_duplicate_links(spark, monkeypatch, stars, block):
     monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     base = [f"word{k}" for k in range(200)]
     texts = []
     for k in range(12):  # a chain: each text differs from the one before in four words, ends are far apart
@@ -68,6 +69,16 @@ def test_near_duplicate_links(spark, monkeypatch, stars):
     assert kept(docs) == brute_kept(list(enumerate(texts))) and len(kept(docs)) == 13
 
 
+def test_shared_shingles(monkeypatch):
+    monkeypatch.setattr(minhash, "_STEP", 7)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 40, 40, 41, 200)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    above = np.triu_indices(len(sets), 1)
+    assert minhash._shared(sets)[above].tolist() == want[above].tolist()
+    assert minhash._shared([sets[0], sets[0]]).tolist() == [[0, 0], [0, 0]]
+
+
 def test_one_row_of_each_group(spark):
     text = " ".join(f"word{k}" for k in range(60))
     rows = [(None, text)] * 50 + [(7, text + " end"), (3, text.upper())]  # one group with an id
