@@ -278,7 +278,7 @@ def test_index_retrieves_the_whole_radius():
     assert len(index.probed(code[5], 7)) < 200  # selective where the radius is small
 
 
-@pytest.mark.parametrize("spread,probed,reranked", [(0.15, 0.15, 0.01), (None, 1.0, 0.06)])
+@pytest.mark.parametrize("spread,probed,reranked", [(0.15, 0.15, 0.01), (None, 1.0, 0.15)])
 def test_how_much_is_probed(spread, probed, reranked):
     """Clustered vectors have a small radius, which the indexes select by; without clusters only the whole codes do."""
     rng = np.random.default_rng(4)
