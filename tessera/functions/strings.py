@@ -12,11 +12,11 @@ template("OCTET_LENGTH", "cast(octet_length({0}) AS bigint)", "INT64")
 template("CHAR_LENGTH", "cast(char_length({0}) AS bigint)", "INT64")
 template("CHARACTER_LENGTH", "cast(char_length({0}) AS bigint)", "INT64")
 same("lower upper", "STRING")
-template("CHR", "ts_code_points_to_string(array({0}))", "STRING")
-template("CODE_POINTS_TO_STRING", "ts_code_points_to_string({0})", "STRING")
+# code points as UTF-32 behind a byte order mark, so that none of them is taken for one; zeros and nulls are left out
+_POINTS = "decode(unhex(concat('0000FEFF', array_join(transform(filter({0}, _c -> _c <> 0), _c -> lpad(hex(_c), 8, '0')), ''))), 'UTF-32')"
+template("CHR", _POINTS.replace("{0}", "array({0})"), "STRING")
+template("CODE_POINTS_TO_STRING", _POINTS, "STRING")
 template("CODE_POINTS_TO_BYTES", "unhex(array_join(transform({0}, _x -> lpad(hex(_x), 2, '0')), ''))", "BYTES")
-template("FROM_BASE32", "ts_from_base32({0})", "BYTES")
-template("TO_BASE32", "ts_to_base32({0})", "STRING")
 template("FROM_BASE64", "unbase64({0})", "BYTES")
 template("FROM_HEX", "unhex({0})", "BYTES")
 template("TO_HEX", "lower(hex({0}))", "STRING")
@@ -110,9 +110,45 @@ def substr(x, start, n=None):
     return Expr(part, x.type or "STRING")
 
 
+# The digits of base 32, and what begins a new word.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_STOPS = " \t\n\r\f\v[](){}/|\\<>!?@\"^#$&~_,.:;*%+-="
+
+
+def _let(name: str, value: str, text: str) -> str:
+    """``text`` with a name for a value, as Spark SQL has no LET."""
+    return f"transform(array({value}), {name} -> {text})[0]"
+
+
+@rule("TO_BASE32", type="STRING")
+def to_base32(x):
+    """Bytes as bits, bits in fives, fives as digits, padded to eights."""
+    bits = f"array_join(transform(regexp_extract_all(hex({x}), '..', 0), _h -> lpad(conv(_h, 16, 2), 8, '0')), '')"
+    fives = "regexp_extract_all(rpad(_b, cast(ceil(length(_b) / 5) * 5 AS int), '0'), '.....', 0)"
+    digits = f"array_join(transform({fives}, _g -> substring('{_BASE32}', cast(conv(_g, 2, 10) AS int) + 1, 1)), '')"
+    padded = _let("_d", digits, "rpad(_d, cast(ceil(length(_d) / 8) * 8 AS int), '=')")
+    return _let("_b", bits, padded)
+
+
+@rule("FROM_BASE32", type="BYTES")
+def from_base32(x):
+    bits = f"array_join(transform(regexp_extract_all(_t, '.', 0), _c -> lpad(conv(cast(instr('{_BASE32}', _c) - 1 AS string), 10, 2), 5, '0')), '')"
+    held = f"unhex(array_join(transform(regexp_extract_all({bits}, '........', 0), _o -> lpad(conv(_o, 2, 16), 2, '0')), ''))"
+    checked = f"if(length({x}) % 8 <> 0 OR _t RLIKE '[^A-Z2-7]', raise_error('invalid base 32'), {held})"
+    return _let("_t", f"rtrim('=', {x})", checked)
+
+
 @rule("INITCAP", type="STRING")
 def initcap(x, delimiters=None):
-    return f"ts_initcap({x}, {delimiters or 'NULL'})"
+    """Words between delimiters, each with its first letter large; only delimiters that vary by row take Python."""
+    stops = _STOPS if delimiters is None else literal(delimiters)
+    if not isinstance(stops, str) or "\\E" in stops:
+        return f"ts_initcap({x}, {delimiters})"
+    large = "concat(upper(left({0}, 1)), lower(substring({0}, 2)))"
+    if not stops:
+        return large.format(x)
+    within = quote(f"\\Q{stops}\\E")[1:-1]
+    return f"array_join(transform(regexp_extract_all({x}, '[^{within}]+|[{within}]', 0), _p -> {large.format('_p')}), '')"
 
 
 @rule("INSTR", type="INT64")

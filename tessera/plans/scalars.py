@@ -51,7 +51,7 @@ STRINGS = {
     "strpos": (PART, "STRPOS(p_name, 'a')", "strpos(p_name, 'a')::BIGINT"),
     "substr": (PART, "SUBSTR(p_name, -3, 2)", "p_name[-3:-2]"),
     "substring": (PART, "SUBSTRING(p_name, 2, 3)", "substring(p_name, 2, 3)"),
-    "to_base32": (PART, "TO_BASE32(b'abc')", "'MFRGG==='"),
+    "to_base32": (PART, "TO_BASE32(CODE_POINTS_TO_BYTES([MOD(p_partkey, 8) * 8 + 1]))", "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((p_partkey % 8 * 8 + 1) // 8 + 1)::INTEGER, 1) || 'E======'"),
     "to_base64": (PART, "TO_BASE64(CAST(p_name AS BYTES))", "base64(encode(p_name))"),
     "to_code_points": (PART, "TO_CODE_POINTS(p_brand)[OFFSET(0)]", "unicode(p_brand)::BIGINT"),
     "to_hex": (PART, "TO_HEX(CAST(p_name AS BYTES))", "lower(hex(encode(p_name)))"),
@@ -192,14 +192,14 @@ JSON = {
     "json_query": (EVENTS, "JSON_QUERY(CONCAT('{\"a\":', props, '}'), '$.a')", "json_extract('{\"a\":' || props || '}', '$.a')::VARCHAR"),
     "json_query_array": (EVENTS, "JSON_QUERY_ARRAY('{\"a\":[1,\"x\"]}', '$.a')[OFFSET(1)]", "'\"x\"'"),
     "json_value": (EVENTS, "JSON_VALUE(props, '$.k')", "json_extract_string(props, '$.k')"),
-    "json_value_array": (EVENTS, "JSON_VALUE_ARRAY('[\"a\",\"b\"]')[OFFSET(0)]", "'a'"),
+    "json_value_array": (EVENTS, "JSON_VALUE_ARRAY(CONCAT('[\"', event_type, '\",\"b\"]'))[OFFSET(0)]", "event_type"),
     "json_type": (EVENTS, "JSON_TYPE(props)", "lower(json_type(props))"),
     "json_object": (EVENTS, "JSON_OBJECT('id', event_id, 'type', event_type)", "json_object('id', event_id, 'type', event_type)::VARCHAR"),
     "json_array": (EVENTS, "JSON_ARRAY(event_id, event_type)", "json_array(event_id, event_type)::VARCHAR"),
     "json_array_insert": (EVENTS, "JSON_ARRAY_INSERT(JSON '[1,2]', '$[1]', event_id)", "'[1,' || event_id || ',2]'"),
-    "json_remove": (EVENTS, "JSON_REMOVE(JSON '{\"a\":1,\"b\":2}', '$.a')", "'{\"b\":2}'"),
+    "json_remove": (EVENTS, "JSON_REMOVE(JSON_OBJECT('a', event_id, 'b', event_type), '$.a')", "'{\"b\":\"' || event_type || '\"}'"),
     "json_set": (EVENTS, "JSON_SET(JSON '{\"a\":1}', '$.b', event_id)", "'{\"a\":1,\"b\":' || event_id || '}'"),
-    "json_strip_nulls": (EVENTS, "JSON_STRIP_NULLS(JSON '{\"a\":null,\"b\":1}')", "'{\"b\":1}'"),
+    "json_strip_nulls": (EVENTS, "JSON_STRIP_NULLS(JSON_OBJECT('a', NULL, 'b', event_id))", "'{\"b\":' || event_id || '}'"),
     "json_keys": (EVENTS, "JSON_KEYS(props)[OFFSET(0)]", "json_keys(props)[1]"),
     "parse_json": (EVENTS, "JSON_VALUE(PARSE_JSON(props), '$.k')", "json_extract_string(props, '$.k')"),
     "to_json": (EVENTS, "TO_JSON(STRUCT(event_id AS id))", "'{\"id\":' || event_id || '}'"),
@@ -207,7 +207,7 @@ JSON = {
     "json_bool": (EVENTS, "BOOL(JSON 'true')", "true"),
     "json_float64": (EVENTS, "FLOAT64(JSON '2.5')", "2.5::DOUBLE"),
     "json_int64": (EVENTS, "INT64(JSON_QUERY(props, '$.k'))", "json_extract(props, '$.k')::BIGINT"),
-    "json_string": (EVENTS, "STRING(JSON '\"x\"')", "'x'"),
+    "json_string": (EVENTS, "STRING(PARSE_JSON(CONCAT('\"', event_type, '\"')))", "event_type"),
     "lax_bool": (EVENTS, "LAX_BOOL(JSON '\"true\"')", "true"),
     "lax_float64": (EVENTS, "LAX_FLOAT64(JSON '\"1.5\"')", "1.5::DOUBLE"),
     "lax_int64": (EVENTS, "LAX_INT64(JSON_QUERY(props, '$.k'))", "json_extract(props, '$.k')::BIGINT"),
@@ -260,7 +260,7 @@ GEOGRAPHY = {
     "st_geogfromgeojson": (CUSTOMER, "ST_ASTEXT(ST_GEOGFROMGEOJSON('{\"type\":\"Point\",\"coordinates\":[1,2]}'))", "'POINT(1 2)'"),
     "st_geogfromwkb": (CUSTOMER, f"ST_ASTEXT(ST_GEOGFROMWKB(ST_ASBINARY({A})))", "'POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))'"),
     "st_astext": (CUSTOMER, "ST_ASTEXT(ST_GEOGPOINT(c_custkey, 1))", "'POINT(' || c_custkey || ' 1)'"),
-    "st_asgeojson": (CUSTOMER, "ST_ASGEOJSON(ST_GEOGPOINT(1, 2))", "'{\"type\": \"Point\", \"coordinates\": [1.0, 2.0]}'"),
+    "st_asgeojson": (CUSTOMER, "ST_ASGEOJSON(ST_GEOGPOINT(MOD(c_custkey, 90), 2))", "'{\"type\": \"Point\", \"coordinates\": [' || c_custkey % 90 || '.0, 2.0]}'"),
     "st_asbinary": (CUSTOMER, "LENGTH(ST_ASBINARY(ST_GEOGPOINT(1, 2)))", "21::BIGINT"),
     "st_boundary": (CUSTOMER, f"ST_ASTEXT(ST_BOUNDARY({A}))", "'LINESTRING(0 0, 2 0, 2 2, 0 2, 0 0)'"),
     "st_centroid": (CUSTOMER, f"ST_ASTEXT(ST_CENTROID({A}))", "'POINT(1 1)'"),
@@ -280,16 +280,16 @@ GEOGRAPHY = {
     "st_iscollection": (CUSTOMER, "ST_ISCOLLECTION(ST_GEOGFROMTEXT('MULTIPOINT(0 0, 1 1)'))", "true"),
     "st_isempty": (CUSTOMER, f"ST_ISEMPTY({P})", "false"),
     "st_isring": (CUSTOMER, "ST_ISRING(ST_GEOGFROMTEXT('LINESTRING(0 0, 1 0, 1 1, 0 0)'))", "true"),
-    "st_length": (CUSTOMER, "ROUND(ST_LENGTH(ST_GEOGFROMTEXT('LINESTRING(0 0, 0 1, 0 3)')), 3)", "round(6371010 * radians(3), 3)"),
+    "st_length": (CUSTOMER, "ROUND(ST_LENGTH(ST_MAKELINE(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(0, MOD(c_custkey, 80)))), 3)", "round(6371010 * radians(c_custkey % 80), 3)"),
     "st_makeline": (CUSTOMER, "ST_ASTEXT(ST_MAKELINE(ST_GEOGPOINT(1, 1), ST_GEOGPOINT(c_custkey, 2)))", "'LINESTRING(1 1, ' || c_custkey || ' 2)'"),
     "st_makepolygon": (CUSTOMER, "ST_ASTEXT(ST_MAKEPOLYGON(ST_GEOGFROMTEXT('LINESTRING(0 0, 1 0, 1 1, 0 0)')))", "'POLYGON((0 0, 1 0, 1 1, 0 0))'"),
     "st_makepolygonoriented": (CUSTOMER, "ST_ASTEXT(ST_MAKEPOLYGONORIENTED([ST_GEOGFROMTEXT('LINESTRING(0 0, 1 0, 1 1, 0 0)')]))", "'POLYGON((0 0, 1 0, 1 1, 0 0))'"),
-    "st_maxdistance": (CUSTOMER, "ROUND(ST_MAXDISTANCE(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(0, 2)), 3)", "round(6371010 * radians(2), 3)"),
+    "st_maxdistance": (CUSTOMER, "ROUND(ST_MAXDISTANCE(ST_GEOGPOINT(0, 0), ST_GEOGPOINT(0, MOD(c_custkey, 80))), 3)", "round(6371010 * radians(c_custkey % 80), 3)"),
     "st_npoints": (CUSTOMER, f"ST_NPOINTS({L2})", "3::BIGINT"),
     "st_perimeter": (CUSTOMER, "ROUND(ST_PERIMETER(ST_GEOGFROMTEXT('POLYGON((0 0, 90 0, 0 90, 0 0))')), 2)", "round(3 * 6371010 * radians(90), 2)"),
     "st_pointn": (CUSTOMER, f"ST_ASTEXT(ST_POINTN({L2}, 2))", "'POINT(3 0)'"),
     "st_simplify": (CUSTOMER, "ST_ASTEXT(ST_SIMPLIFY(ST_GEOGFROMTEXT('LINESTRING(0 0, 1 0.0000001, 2 0)'), 100))", "'LINESTRING(0 0, 2 0)'"),
-    "st_snaptogrid": (CUSTOMER, "ST_ASTEXT(ST_SNAPTOGRID(ST_GEOGPOINT(1.23, 2.38), 0.5))", "'POINT(1 2.5)'"),
+    "st_snaptogrid": (CUSTOMER, "ST_ASTEXT(ST_SNAPTOGRID(ST_GEOGPOINT(MOD(c_custkey, 80) + 0.2, 2.38), 1))", "'POINT(' || c_custkey % 80 || ' 2)'"),
     "st_touches": (CUSTOMER, "ST_TOUCHES(ST_GEOGFROMTEXT('POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))'), ST_GEOGFROMTEXT('POLYGON((1 0, 2 0, 2 1, 1 1, 1 0))'))", "true"),
     "st_union": (CUSTOMER, f"ST_ASTEXT(ST_UNION({A}, {B}))", "'POLYGON((0 0, 2 0, 2 1, 3 1, 3 3, 1 3, 1 2, 0 2, 0 0))'"),
     "st_within": (CUSTOMER, f"ST_WITHIN({P}, {BOX})", INSIDE),
