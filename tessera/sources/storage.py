@@ -3,9 +3,9 @@
 A table's version is a list of folders and files that are never changed once written. Appending adds a folder.
 UPDATE, DELETE and MERGE first find the files that hold a row to change, write those rows anew into one folder, and
 name all other files as before, so their cost follows the files they touch; snapshots and clones copy the list, not the
-data. A table that is partitioned by the days of a DATE column has a folder for each day, so that filters on it prune
-folders; with other partitions rows are sorted by the column, so that filters prune row groups. The catalog is
-one JSON file, replaced as a whole, so a change is seen entirely or not at all. One writer at a time.
+data. What is written to a table that is partitioned by the days of a DATE column has a folder for each day, so that
+filters on it prune folders; writes too small for that, and other partitions, are sorted by the column, so that filters
+prune row groups. The catalog is one JSON file, replaced as a whole, so a change is seen entirely or not at all. One writer at a time.
 """
 
 from __future__ import annotations
@@ -57,9 +57,13 @@ class Entry:
     returns: str | None = None
 
 
+#: Writes that the optimizer takes to be smaller get no folders by day: thousands of tiny files cost more than they prune.
+DAILY_BYTES = 1 << 30
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, files.qualified(spark, root)
+    def __init__(self, spark: SparkSession, root: str, daily_bytes: int = DAILY_BYTES):
+        self.spark, self.root, self.daily_bytes = spark, files.qualified(spark, root), daily_bytes
         self.datasets: dict[str, dict] = {}
         self.entries: dict[str, Entry] = {}
         self.saved: list[tuple[dict, dict]] = []
@@ -147,7 +151,8 @@ class Warehouse:
         e, version = self.entries.get(name), uuid.uuid4().hex
         column = e.partition_column if e is not None and e.partition_column in df.columns else None
         order = [*([column] if column else []), *(c for c in (e.clustering if e is not None else []) if c != column)]
-        if column and e.partition == "DAY" and isinstance(df.schema[column].dataType, T.DateType):
+        daily = column and e.partition == "DAY" and isinstance(df.schema[column].dataType, T.DateType)
+        if daily and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= self.daily_bytes:
             # days go to tasks by size: large ones are split, small ones share a task
             path = f"{self.root}/data/_table={name}/_version={version}"
             df.hint("rebalance", F.col(f"`{column}`")).sortWithinPartitions(*order).write.partitionBy(column).parquet(path)

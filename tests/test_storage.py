@@ -68,7 +68,21 @@ def test_purge_keeps_files_of_folders_that_changed(engine):
     assert engine.warehouse.read("d.p").count() == 998
 
 
+def test_small_writes_make_no_folders(engine):
+    engine.sql("CREATE TABLE d.few (day DATE, k INT64) PARTITION BY day AS SELECT DATE_ADD(DATE '2024-01-01', INTERVAL i DAY), i FROM UNNEST(GENERATE_ARRAY(0, 99)) AS i")
+    assert not any("day=" in f for f in named(engine, "d.few"))
+    found = engine.sql("SELECT k FROM d.few WHERE day = DATE '2024-01-03'")
+    assert "PushedFilters: [IsNotNull(day), EqualTo(day" in found._jdf.queryExecution().executedPlan().toString()
+    engine.warehouse.daily_bytes = 0  # from now on writes are large: both layouts are read together
+    engine.sql("INSERT INTO d.few VALUES (DATE '2024-01-03', 500)")
+    assert any("day=" in f for f in named(engine, "d.few"))
+    assert sorted(r[0] for r in found.collect()) == [2]
+    assert sorted(r[0] for r in engine.sql("SELECT k FROM d.few WHERE day = DATE '2024-01-03'").collect()) == [2, 500]
+    assert engine.execute("DELETE FROM d.few WHERE day = DATE '2024-01-03'").affected == 2
+
+
 def test_days_are_folders(engine):
+    engine.warehouse.daily_bytes = 0
     engine.sql("CREATE TABLE d.days (day DATE, k INT64) PARTITION BY day AS SELECT DATE_ADD(DATE '2024-01-01', INTERVAL MOD(i, 10) DAY), i FROM UNNEST(GENERATE_ARRAY(0, 99)) AS i")
     engine.sql("INSERT INTO d.days VALUES (NULL, 1000), (DATE '2024-01-03', 1001)")
     assert engine.warehouse.read("d.days").columns == ["day", "k"]
