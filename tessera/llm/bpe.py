@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import give_back, small_batches, table
 
 #: Words of more bytes have many places contracted in a step, shorter ones the one place of their least pair.
 OFTEN = 64
 #: Bytes of words that go to the query together.
 TOGETHER = 1 << 20
-CACHE = 400_000
+CACHE = 200_000
 _POS = 1 << 30
 
 #: A step's rows with a pair below; `[:-2]` and `[2:]` are a word's left and right ids.
@@ -255,6 +255,11 @@ class Codec:
         at, flat = offsets[ends].tolist(), data.tobytes()
         self.new.update(zip(missing, [flat[a:b] for a, b in zip(at, at[1:])]))
 
+    def rest(self) -> None:
+        """Between tasks the latest words are enough; other operators may use the worker meanwhile."""
+        self.old, self.decoded_old = {}, {}
+        give_back()
+
     def encode(self, texts: list[str]) -> Words:
         """Every text's id words."""
         if not texts:
@@ -310,6 +315,7 @@ def _over_texts(spark: SparkSession, path: str | None, pattern: str | None, row:
         own = codec(held.value)
         for batch in batches:
             yield row(own, batch, [t or "" for t in batch.column(1).to_pylist()])
+        own.rest()
 
     return run
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,14 @@ def small_batches(spark: SparkSession, max_bytes: int = 16 << 20) -> None:
         spark.conf.set(key, str(max_bytes))
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system at the end of a task, as other operators use the worker next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh(columns: list[str], base: str) -> str:
     """A column name that none of the given has, whatever its case."""
     taken = {c.lower() for c in columns}
