@@ -529,3 +529,12 @@ def interval_string(i: str) -> str:
         f"concat(if({m} < 0, '-', ''), abs({m}) div 12, '-', abs({m}) % 12, ' ', {d}, ' ', if({u} < 0, '-', ''), abs({u}) div 3600000000L, ':', "
         f"abs({u}) div 60000000L % 60, ':', abs({u}) div 1000000L % 60, {fraction})"
     )
+
+
+def shown(df):
+    """A result as its reader can take it: intervals, which Python has no type for, become the warehouse's text."""
+    from pyspark.sql import functions as F
+
+    if not any(kind == "interval" for _, kind in df.dtypes):
+        return df
+    return df.select(*[F.expr(interval_string(f"`{c}`")).alias(c) if kind == "interval" else F.col(f"`{c}`") for c, kind in df.dtypes])

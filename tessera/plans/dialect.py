@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions import udfs
+from tessera.functions import dates, udfs
 from tessera.plans.registry import TABLES, add, load
 from tessera.plans.translate import Hooks, translate
 from tessera.session import configure
@@ -45,7 +45,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     if spark.sparkContext.applicationId not in _ready:
         udfs.register(spark)
         _ready.add(spark.sparkContext.applicationId)
-    return spark.sql(translate(sql, Folder(spark, sf_dir)))
+    return dates.shown(spark.sql(translate(sql, Folder(spark, sf_dir))))
 
 
 def query(name: str, sql: str, oracle: str | None) -> None:

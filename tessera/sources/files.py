@@ -85,11 +85,20 @@ def load(spark: SparkSession, uris: str | list[str], source_format: str, schema=
     return reader.format(kind).load([uris] if isinstance(uris, str) else uris)
 
 
+#: What one file may hold, as the optimizer takes the rows' size to be.
+SINGLE_FILE_BYTES = 1 << 30
+
+
 def extract(df: DataFrame, uri: str, destination_format: str, header: bool = True, delimiter: str = ",", compression: str | None = None, overwrite: bool = False, shard_rows: int | None = None) -> None:
-    """An extract job or EXPORT DATA: a folder of files of the format; a ``*`` in the name allows many shards."""
+    """An extract job or EXPORT DATA: a folder of files of the format; a ``*`` in the name allows many shards.
+
+    Without it one task writes one file, so that larger results are an error, as in the warehouse.
+    """
     kind = FORMATS.get(destination_format.upper())
     if kind is None or kind == "orc":
         raise ValueError(f"unsupported destination format {destination_format}")
+    if "*" not in uri and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SINGLE_FILE_BYTES:
+        raise ValueError("the result is too large for a single file: put a * into the URI")
     out = df if "*" in uri else df.coalesce(1)
     writer = out.write.mode("overwrite" if overwrite else "errorifexists")
     if compression and compression.upper() != "NONE":

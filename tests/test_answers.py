@@ -73,3 +73,18 @@ def test_scalars(spark, expression, want):
 def test_invalid_text_is_an_error(spark):
     with pytest.raises(Exception, match="(?i)utf"):
         ask(spark, r"SELECT CAST(b'\xff' AS STRING) AS r").collect()
+
+
+def test_intervals_can_be_collected(spark):
+    got = ask(spark, "SELECT INTERVAL 14 MONTH AS m, INTERVAL '1 2:03:04.5' DAY TO SECOND AS d, 7 AS n").first()
+    assert got["m"] == "1-2 0 0:0:0" and got["d"].startswith("0-0 ") and got["n"] == 7
+
+
+def test_one_file_has_a_limit(spark, tmp_path, monkeypatch):
+    from tessera.sources import files
+
+    files.extract(spark.range(10), f"file://{tmp_path}/one.csv", "CSV")
+    monkeypatch.setattr(files, "SINGLE_FILE_BYTES", 10)
+    with pytest.raises(ValueError, match="single file"):
+        files.extract(spark.range(10), f"file://{tmp_path}/two.csv", "CSV")
+    files.extract(spark.range(10), f"file://{tmp_path}/more-*.csv", "CSV")
