@@ -185,5 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
 
 
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector's neighbours. Null, zero and non-finite vectors and null ids take no part; ties go to the
+    smaller vec_id; rows equal in id and vector count once; fewer than eleven rows give all others; an empty table none."""
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where(f"vec_id % {QUERY_MODULUS} = 0"))

@@ -339,7 +339,8 @@ def _digests(own: Codec, batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBa
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, token_ids) of every whole text; null and empty texts have no ids, repeated rows repeat."""
+    """(doc_id, token_ids) of every whole text; null and empty texts have no ids, null doc_ids stay null, repeated rows
+    repeat, whatever else the table holds is ignored, and an empty table gives no rows."""
     small_batches(docs.sparkSession, 4 << 20)
     run = _over_texts(docs.sparkSession, path, pattern, _with_ids)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, token_ids array<int>")
@@ -374,4 +375,6 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text. Null and empty texts have no ids; null doc_ids stay null and repeated rows repeat; an empty table
+    gives no rows."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -179,5 +179,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of the mix. Null and empty texts have size zero and take nothing; null sources are a source,
+    the last; of equal rows any takes the odd copy; an empty table gives no rows."""
     found = mix(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return found.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

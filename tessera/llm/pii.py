@@ -363,4 +363,6 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans. Null and empty texts have none; equal starts go by kind; null doc_ids stay null and repeated
+    rows repeat; an empty table gives no rows."""
     return find_all(table(spark, sf_dir, "documents"))

@@ -129,4 +129,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score. Null and empty texts are scored as empty; a null doc_id is not held out; repeated rows are
+    scored alike; null labels teach nothing; an empty table gives no rows."""
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

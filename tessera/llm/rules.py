@@ -161,6 +161,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict. Null and empty texts have no words and fail; repeated rows are judged alike; an
+    empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in COUNTS])
 

@@ -150,4 +150,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component. Null and empty texts have fingerprint zero and link like any other; a null
+    doc_id names no component unless its group has no other; repeated rows repeat; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents"))

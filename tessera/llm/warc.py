@@ -310,6 +310,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through the archives. Null html is an empty payload, which like all short ones is a response; a null
+    page_id stays null; pages that repeat an id with equal html are all responses if it is the largest; an empty table
+    gives no rows."""
     return round_trip(table(spark, sf_dir, "pages"))
 
 
