@@ -279,6 +279,34 @@ def rest_nested(e: Engine, sf_dir: str) -> DataFrame:
     return ingest.wire_rows(e.sql("SELECT STRUCT(n_nationkey AS a, [n_name] AS b) AS s FROM nation"))
 
 
+@job("job_default_dataset", f"{BASE} WHERE n_regionkey = 1")
+def default_dataset(e: Engine, sf_dir: str) -> DataFrame:
+    """Names without a dataset mean the session's own."""
+    e.dataset = "d"
+    e.sql("CREATE TABLE n AS SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation; DELETE FROM n WHERE r <> 1")
+    return e.sql("SELECT n.k, name, r FROM n")
+
+
+@job("job_backup_restore", f"{BASE} WHERE n_nationkey <> 3")
+def backup_restore(e: Engine, sf_dir: str) -> DataFrame:
+    e.sql(f"{N} DELETE FROM d.n WHERE k = 3")
+    place = scratch_path(e.spark, "backup")
+    e.warehouse.backup(place)
+    e.sql("DROP TABLE d.n")
+    return type(e.warehouse).restore(e.spark, place, scratch_path(e.spark, "restored")).read("d.n")
+
+
+@job("stream_arrow_rows", "SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders")
+def arrow_rows(e: Engine, sf_dir: str) -> DataFrame:
+    """Rows out of a session as Arrow messages, and into a table again."""
+    e.sql("CREATE TABLE d.t (k INT64, s STRING, p FLOAT64)")
+    session = ingest.ReadSession(e.sql("SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders"), streams=2)
+    for k in range(session.streams):
+        rows = session.stream(k)
+        e.warehouse.append("d.t", ingest.from_arrow(ingest.arrow_rows(rows), rows.schema))
+    return e.sql("SELECT k, s, p FROM d.t")
+
+
 @job("stream_windowed_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed(e: Engine, sf_dir: str) -> DataFrame:
     """Hourly counts of the event stream, by Structured Streaming with a watermark."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +32,12 @@ def plain(path: str) -> str:
     return f"{scheme}:/{unquote(rest).lstrip('/')}" if mark else "file:/" + unquote(path).lstrip("/")
 
 
+def uri(path: str) -> str:
+    """A Hadoop path as Arrow's file systems want it."""
+    scheme, mark, rest = path.partition(":/")
+    return f"{scheme}://{'' if rest.startswith('/') else '/'}{quote(rest.removeprefix('/'), safe='/:@=')}" if mark else path
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """The data files of a folder, or the file itself."""
     fs, p = _fs(spark, path)

@@ -15,8 +15,11 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,6 +345,31 @@ class Warehouse:
         self.put(target, Entry("CLONE" if clone else "SNAPSHOT", v["schema"], bases=[source], **layout), **how)
         self.publish(target, list(v["paths"]))
 
+    # -- whole warehouses
+
+    def backup(self, target: str) -> int:
+        """Copy the catalog and all files that it names under another root; the number of files. What is there must be empty."""
+        return _transfer(self, files.qualified(self.spark, target))
+
+    @classmethod
+    def restore(cls, spark: SparkSession, backup: str, root: str) -> Warehouse:
+        """A warehouse at a new root out of a backup, with all its versions."""
+        _transfer(cls(spark, backup), files.qualified(spark, root))
+        return cls(spark, root)
+
+    def export(self, folder: str, destination_format: str = "PARQUET") -> list[str]:
+        """Every table's latest rows as a folder of files of its name."""
+        names = [k for k, e in self.entries.items() if e.kind in ("TABLE", "CLONE", "SNAPSHOT")]
+        for name in names:
+            files.extract(self.read(name), f"{folder.rstrip('/')}/{name}/*", destination_format)
+        return names
+
+    def seed(self, dataset: str, folder: str, tables: list[str], source_format: str = "PARQUET") -> dict[str, int]:
+        """Tables of a dataset out of files or folders of their names; the rows of each."""
+        self.create_dataset(dataset, if_not_exists=True)
+        ending = "" if source_format != "PARQUET" else ".parquet"
+        return {t: self.load(f"{dataset}.{t}", files.load(self.spark, f"{folder.rstrip('/')}/{t}{ending}", source_format, autodetect=True)) for t in tables}
+
     # -- changes, copy-on-write
 
     def _changed(self, name: str, where: str, alias: str | None) -> tuple[int, list[str], DataFrame | None]:
@@ -428,3 +456,34 @@ class Warehouse:
         else:
             self.rewrite(name, paths, added.select(*columns))
         return counts
+
+
+def _transfer(warehouse: Warehouse, target: str) -> int:
+    """Copy the files that a catalog names, in tasks, then the catalog with their new places."""
+    spark, root = warehouse.spark, warehouse.root
+    if files.exists(spark, f"{target}/catalog.json"):
+        raise Duplicate(f"Already Exists: a warehouse at {target}")
+    base = files.plain(root) + "/"
+    paths = {p for e in warehouse.entries.values() for v in e.versions for p in v["paths"]}
+    within = sorted({files.plain(f).removeprefix(base) for p in paths for f in files.listing(spark, p)})
+
+    def copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, there = (pafs.FileSystem.from_uri(files.uri(r)) for r in (root, target))
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                to = f"{there[1]}/{name}"
+                there[0].create_dir(to.rpartition("/")[0], recursive=True)
+                with here[0].open_input_stream(f"{here[1]}/{name}") as source, there[0].open_output_stream(to) as sink:
+                    while part := source.read(8 << 20):
+                        sink.write(part)
+            yield batch
+
+    if within:
+        names = spark.createDataFrame([(n,) for n in within], "name string").repartition(min(len(within), 1000), "name")
+        names.mapInArrow(copy_files, "name string").count()
+    entries = {k: asdict(v) for k, v in warehouse.entries.items()}
+    for e in entries.values():
+        for v in e["versions"]:
+            v["paths"] = [f"{target}/{files.plain(p).removeprefix(base)}" for p in v["paths"]]
+    files.write_text(spark, f"{target}/catalog.json", json.dumps({"datasets": warehouse.datasets, "entries": entries}))
+    return len(within)

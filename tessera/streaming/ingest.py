@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import stash
 from tessera.sources.storage import Warehouse
@@ -194,3 +198,35 @@ def _record(schema: T.StructType, get) -> Column:
 def wire_rows(df: DataFrame) -> DataFrame:
     """Rows as the warehouse's REST interface writes them, a JSON text each."""
     return df.select(_record(df.schema, lambda f: F.col(f"`{f.name}`")).alias("row_json"))
+
+
+def arrow_rows(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """(serialized_record_batch, row_count): rows as a read session sends them, in Arrow messages of at most so many rows.
+
+    :func:`arrow_schema` gives the message that goes before them. Each task encodes its own rows.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.slice(at, most) for at in range(0, batch.num_rows, most)]
+            yield pa.record_batch([pa.array([p.serialize().to_pybytes() for p in parts], pa.binary()), pa.array([p.num_rows for p in parts], pa.int64())], names=["serialized_record_batch", "row_count"])
+
+    return df.mapInArrow(encode, "serialized_record_batch binary, row_count long")
+
+
+def arrow_schema(schema: T.StructType) -> bytes:
+    """A schema as the Arrow message that a session sends first."""
+    return to_arrow_schema(schema).serialize().to_pybytes()
+
+
+def from_arrow(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """Arrow messages, as a writer of rows sends them, as rows of the schema they were written with."""
+    expected = to_arrow_schema(schema)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for message in batch.column(0).to_pylist():
+                rows = pa.ipc.read_record_batch(pa.py_buffer(message), expected)
+                yield pa.record_batch([rows.column(f.name).cast(f.type) for f in expected], schema=expected)
+
+    return messages.select("serialized_record_batch").mapInArrow(decode, schema)

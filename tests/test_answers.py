@@ -75,6 +75,11 @@ def test_invalid_text_is_an_error(spark):
         ask(spark, r"SELECT CAST(b'\xff' AS STRING) AS r").collect()
 
 
+def test_tables_go_by_their_names(spark):
+    got = ask(spark, "SELECT nation.n_name FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey WHERE region.r_regionkey = 0 ORDER BY nation.n_nationkey LIMIT 1")
+    assert got.columns == ["n_name"] and got.count() == 1
+
+
 def test_intervals_can_be_collected(spark):
     got = ask(spark, "SELECT INTERVAL 14 MONTH AS m, INTERVAL '1 2:03:04.5' DAY TO SECOND AS d, 7 AS n").first()
     assert got["m"] == "1-2 0 0:0:0" and got["d"].startswith("0-0 ") and got["n"] == 7

@@ -2,10 +2,13 @@
 
 import uuid
 
+import pyarrow as pa
 import pytest
 
 from tessera.engine import Engine
 from tessera.sources import files
+from tessera.sources.storage import Warehouse
+from tessera.streaming import ingest
 
 
 @pytest.fixture
@@ -101,7 +104,43 @@ def test_days_are_folders(engine):
     assert engine.warehouse.read("d.flat").count() == 102
 
 
+def test_backup_and_restore(engine, tmp_path):
+    engine.warehouse.daily_bytes = 0
+    engine.sql("CREATE TABLE d.days (day DATE, k INT64) PARTITION BY day AS SELECT DATE '2024-01-01', 1 UNION ALL SELECT DATE '2024-01-02', 2")
+    engine.sql("DELETE FROM d.t WHERE k = 3; CREATE SNAPSHOT TABLE d.snap CLONE d.t")
+    place = f"file://{tmp_path}/backup folder"
+    n = engine.warehouse.backup(place)
+    with pytest.raises(ValueError, match="Already"):
+        engine.warehouse.backup(place)
+    engine.sql("DELETE FROM d.t WHERE TRUE; DROP TABLE d.days")
+    restored = Warehouse.restore(engine.spark, place, f"file://{tmp_path}/again")
+    assert sorted(restored.read("d.t").collect()) == [(k, "ab"[k % 2]) for k in range(8) if k != 3] and n > 4
+    assert restored.read("d.snap").count() == 7 and sorted(r["k"] for r in restored.read("d.days").where("day > date'2024-01-01'").collect()) == [2]
+    assert len(restored.entries["d.t"].versions) == len(engine.warehouse.entries["d.t"].versions) - 1
+    assert restored.delete("d.t", "k = 4") == 1 and restored.read("d.t").count() == 6
+
+
+def test_export_and_seed(engine, tmp_path):
+    out = f"file://{tmp_path}/out"
+    assert engine.warehouse.export(out) == ["d.t"]
+    engine.spark.read.parquet(f"{out}/d.t/*").write.parquet(f"file://{tmp_path}/in/copy.parquet")
+    assert engine.warehouse.seed("e", f"file://{tmp_path}/in", ["copy"]) == {"copy": 8}
+    assert rows(engine, "e.copy") == rows(engine)
+
+
+def test_rows_in_arrow_messages(engine):
+    schema = engine.warehouse.schema("d.t")
+    messages = ingest.arrow_rows(engine.warehouse.read("d.t"), 3)
+    assert sum(r["row_count"] for r in messages.collect()) == 8 and max(r["row_count"] for r in messages.collect()) <= 3
+    header = pa.ipc.read_schema(pa.py_buffer(ingest.arrow_schema(schema)))
+    assert header.names == ["k", "s"]
+    before = rows(engine)
+    engine.warehouse.append("d.t", ingest.from_arrow(messages, schema))
+    assert rows(engine) == sorted(before * 2, key=str)
+
+
 def test_paths_in_one_form():
     for path in ("file:/a/b=c d", "file:///a/b=c%20d", "/a/b=c d"):
         assert files.plain(path) == "file:/a/b=c d"
+    assert files.uri("file:/a/b c") == "file:///a/b%20c" and files.uri("hdfs://nn:8020/x/y=1") == "hdfs://nn:8020/x/y=1" and files.uri("file:///a") == "file:///a"
     assert files.plain("hdfs://nn:8020/x") == files.plain("hdfs://nn:8020/x") != files.plain("/x")
