@@ -26,7 +26,7 @@ from tessera.session import stash
 
 K = 10
 QUERY_MODULUS = 100
-#: Vectors the rotations and the radius are learned from: those with the least hash, at most so many; and how many of them ask.
+#: Vectors the rotations and the radius are learned from: about so many, drawn by hash; and how many of them ask.
 SAMPLE, ASKING = 10_000, 400
 #: Rotations, each with a bit for every component: 256 bits for 64 components.
 ROTATIONS = 4
@@ -160,7 +160,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     m = queries.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taught = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "tag").limit(sample).select("v").toPandas()["v"]  # at most ``sample`` rows
+    # a share of the rows by hash, so that each task sends no more than its part of about ``sample`` rows
+    drawn = F.pmod(F.xxhash64("vec_id", "tag"), F.lit(1 << 32))
+    share = vectors.select(drawn.alias("h"), "v").where(F.col("h") < (1 << 32) * min(1.0, sample / n))
+    taught = share.toPandas().sort_values("h", kind="stable")["v"]
+    if not len(taught):  # a share that hit none of few rows
+        taught = vectors.limit(sample).toPandas()["v"]
     taught = np.stack(taught.to_numpy())
     mean, rotation = learn(taught)
     radius = learn_radius(taught, mean, rotation, k, n)
