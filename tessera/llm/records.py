@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -66,26 +67,38 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.cache = cache
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        every = [t.replace("\n", " ").split(" ") for t in texts]
+        """Each text's ids, the end id last; only the distinct words of a batch are looked up one by one."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        self.learn(set(keys))
+        places = pa.array(list(map(self.new.__getitem__, keys)), pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(places.buffers()[1], dtype=np.int64)
+        data = memoryview(places.buffers()[2] or b"")
+        at = offsets[split.offsets.to_numpy()].tolist()
+        end = np.array([END], dtype=self.kind).tobytes()
+        return [b"".join((data[a:b], end)) for a, b in zip(at, at[1:])]
+
+    def learn(self, keys: set[str]) -> None:
+        """Bring the words of a batch into the cache."""
         if len(self.new) > self.cache:
             self.old, self.new = self.new, {}
-        missing = set().union(*every) - self.new.keys() if every else set()
+        missing = keys - self.new.keys()
         for k in (held := missing & self.old.keys()):
             self.new[k] = self.old[k]
         fresh = list(missing - held)
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.new.update((k, np.array(e.ids, dtype=self.kind).tobytes()) for k, e in zip(part, found))
-        get = self.new.__getitem__
-        end = np.array([END], dtype=self.kind).tobytes()
-        return [b"".join([*map(get, words), end]) for words in every]
+            self.new.update((k, struct.pack(f"<{len(ids := e.ids)}{self.code}", *ids)) for k, e in zip(part, found))
 
 
 _words: dict[int, Words] = {}
