@@ -33,6 +33,8 @@ MAX_BITS = 3
 CROWD = 128
 #: Holders of a crowded key that meet as many others in one join key.
 BLOCK = 1024
+#: Spark takes exploded rows to be as few as their sources, and would broadcast tens of them for each fingerprint.
+MERGE = "merge"
 
 
 def fingerprint(text: str | None) -> int:
@@ -85,7 +87,7 @@ def _pairs(keys: DataFrame) -> DataFrame:
     """Links (a, b) among (slot, rest, fp) that share a key."""
     left = keys.select("slot", "rest", F.col("fp").alias("a"))
     right = keys.select(F.col("slot").alias("slot2"), F.col("rest").alias("rest2"), F.col("fp").alias("b"))
-    return left.join(right, F.expr("slot = slot2 and rest = rest2 and a < b") & _linked("a", "b", "slot")).select("a", "b")
+    return left.join(right.hint(MERGE), F.expr("slot = slot2 and rest = rest2 and a < b") & _linked("a", "b", "slot")).select("a", "b")
 
 
 def _across(rooted: DataFrame, block: int) -> DataFrame:
@@ -100,14 +102,14 @@ def _across(rooted: DataFrame, block: int) -> DataFrame:
     left = held.select(*key, F.col("fp").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("i"), meets.alias("j"))
     right = held.select(F.col("slot").alias("slot2"), F.col("rest").alias("rest2"), F.col("fp").alias("b"), F.col("root").alias("root_b"), meets.alias("i2"), F.col("own").alias("j2"))
     met = F.expr("slot = slot2 and rest = rest2 and i = i2 and j = j2 and a < b and root_a <> root_b")
-    return left.join(right, met & _linked("a", "b", "slot")).select("a", "b")
+    return left.join(right.hint(MERGE), met & _linked("a", "b", "slot")).select("a", "b")
 
 
 def links(fps: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Different fingerprints (fp) -> edges (a, b) with the same components as all pairs within three bits."""
     keys = fps.select("fp", F.explode(_variants("fp")).alias("k")).select("fp", "k.slot", "k.rest")
     shared = keys.groupBy("slot", "rest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("slot").alias("s"), F.col("rest").alias("r"), "n")
-    held = stash(keys.join(shared, (F.col("slot") == F.col("s")) & (F.col("rest") == F.col("r"))).select("slot", "rest", "fp", "n"), "keys")
+    held = stash(keys.join(shared.hint(MERGE), (F.col("slot") == F.col("s")) & (F.col("rest") == F.col("r"))).select("slot", "rest", "fp", "n"), "keys")
     edges = _pairs(held.where(F.col("n") <= crowd))
     hot = held.where(F.col("n") > crowd)
     if hot.limit(1).count() == 0:
@@ -117,7 +119,7 @@ def links(fps: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     balls = F.concat(F.array(F.col("fp")), F.array(*[F.col("fp").bitwiseXOR(F.expr(f"shiftleft(1L, {b})")) for b in range(64)]))
     ball = members.select("fp", F.explode(balls).alias("ball"))
     star = ball.groupBy("ball").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    tied = ball.join(star, "ball").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    tied = ball.join(star.hint(MERGE), "ball").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     edges = stash(edges.union(tied.distinct()), "links")
     roots = components(edges)
     rooted = hot.drop("n").join(roots, hot.fp == roots.node, "left").select("slot", "rest", "fp", F.coalesce("root", "fp").alias("root"))

@@ -91,6 +91,22 @@ def test_one_row_of_each_group(spark):
     assert {r["text"] for r in found.where("doc_id = 1").collect()} == {rows[-4][1], rows[-1][1]}
 
 
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    plans, stash = {}, simhash.stash
+
+    def kept_plan(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(df, name)
+
+    monkeypatch.setattr(simhash, "stash", kept_plan)
+    fps = spark.createDataFrame([(1 << k,) for k in range(9)], "fp long")
+    found = simhash.links(simhash.stash(fps, "fps"), crowd=2, block=2)
+    plans["found"] = [found._jdf.queryExecution().executedPlan().toString()]
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    for name in ("keys", "links", "found"):  # keys and counts; pairs, then balls; blocks of crowded keys
+        assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans[name]), name
+
+
 def test_mixed_takes_each_row_by_its_own_copies(spark):
     rows = [(None, "a", " ".join(["w"] * 10) + f" n{k}") for k in range(1000)] + [(5, "b", f"x y n{k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
